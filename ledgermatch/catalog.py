@@ -47,7 +47,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def ledgers(spark: SparkSession, sf_dir: str) -> R.Ledgers:
-    w, wt, sw = adapter.load(spark, sf_dir)
+    """The stored ledgers derived from ``sf_dir`` (derived on first use)."""
+    w, wt, sw = adapter.stored(spark, sf_dir)
     return R.Ledgers(w, wt, sw)
 
 

@@ -14,9 +14,15 @@ joins of a fact table with two small dimensions, so they scale with the fact.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_root
+
 # --- fixed values: adapter rule parameters --------------------------------
 SWAP_WINDOW_START = "1995-07-01 00:00:00"
 SWAP_WINDOW_END = "2001-01-01 00:00:00"
@@ -203,5 +209,47 @@ def wallets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(wallets, wallet_transactions, swap_transactions) for ``sf_dir``."""
+    """(wallets, wallet_transactions, swap_transactions) for ``sf_dir`` as lazy plans."""
     return wallets(spark, sf_dir), wallet_transactions(spark, sf_dir), swap_transactions(spark, sf_dir)
+
+
+LEDGER_NAMES = ("wallets", "wallet_transactions", "swap_transactions")
+SOURCE_TABLES = ("orders", "customer", "nation", "lineitem")
+
+
+def _signature(sf_dir: str) -> str:
+    """Folder name part that changes when the source tables change."""
+    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir]
+    for t in SOURCE_TABLES:
+        path = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        try:
+            st = os.stat(path)
+            parts.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
+        except OSError:
+            parts.append(t)
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(f"{path}/_SUCCESS")
+        return True
+    except AnalysisException:
+        return False
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three ledgers as stored parquet tables below the shared work folder.
+
+    Derived once per source folder (like loading the exports once), then read
+    back by every query: scans prune columns and push filters into the files."""
+    base = f"{work_root(spark)}/ledgers-{_signature(sf_dir)}"
+    derive = {"wallets": wallets, "wallet_transactions": wallet_transactions,
+              "swap_transactions": swap_transactions}
+    out = []
+    for name in LEDGER_NAMES:
+        path = f"{base}/{name}"
+        if not _exists(spark, path):
+            derive[name](spark, sf_dir).write.mode("overwrite").parquet(path)
+        out.append(spark.read.parquet(path))
+    return tuple(out)
