@@ -401,3 +401,187 @@ def _i17(led):
 @register("post_load_counts")
 def _i19(led):
     return X.post_load_counts(led)
+
+
+# --- I1-I16, I18: ingest and versioned merge ----------------------------------
+# Inputs are CSV exports that Spark writes from the stored ledgers (clean, a
+# master export with a Wallet Pin column, and a deterministically corrupted
+# wallet export); see ``adapter.exports``.
+
+from .operators import merge as M  # noqa: E402
+from .sinks import store  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .sources import csv_ingest as I  # noqa: E402
+
+
+def _ingested(spark, sf_dir, name: str, dataset: str) -> I.IngestResult:
+    base = adapter.exports(spark, sf_dir)
+    return I.ingest(spark, f"{base}/{name}/*.csv", dataset)[dataset]
+
+
+REGISTRY_RAW: dict[str, Query] = {}
+
+
+def register_raw(name: str):
+    """Queries that need the session and folder themselves (ingest, merge)."""
+    def deco(fn: Callable[[SparkSession, str], DataFrame]):
+        REGISTRY[name] = lambda spark, sf_dir: comparable(fn(spark, sf_dir))
+        return fn
+    return deco
+
+
+@register_raw("ingest_typed_scan")
+def _ingest_typed(spark, sf_dir):
+    rows = _ingested(spark, sf_dir, "swap", "swap").rows
+    return rows.select("zoho_record_id", "transaction_id", "country", "status", "created_on", "swap_amount",
+                       "swap_date", "payment_method", "customer_id", "customer_name", "station_label")
+
+
+@register_raw("ingest_field_parse")
+def _ingest_parse(spark, sf_dir):
+    p = _ingested(spark, sf_dir, "dirty_wallet", "wallet").parsed
+    return p.select("record_text", "amount", "created_on", "source_modified_at", "reject_message")
+
+
+@register_raw("ingest_rejects")
+def _ingest_rejects(spark, sf_dir):
+    return _ingested(spark, sf_dir, "dirty_wallet", "wallet").rejects.select("record_text", "reject_message")
+
+
+@register_raw("ingest_drop_sensitive")
+def _ingest_sensitive(spark, sf_dir):
+    rows = _ingested(spark, sf_dir, "wallet_master", "wallet_master").rows
+    return rows.select("zoho_record_id", F.col("raw_record").contains("Wallet Pin").alias("pin_in_raw"),
+                       F.lit(any("pin" in c.lower() for c in rows.columns)).alias("pin_column"))
+
+
+@register_raw("ingest_raw_record")
+def _ingest_raw(spark, sf_dir):
+    return _ingested(spark, sf_dir, "wallet_master", "wallet_master").rows.select("zoho_record_id", "raw_record")
+
+
+@register_raw("ingest_header_check")
+def _ingest_headers(spark, sf_dir):
+    base = adapter.exports(spark, sf_dir)
+    a = I.header_audit(spark, f"{base}/*/*.csv")
+    return a.select("file_name", "dataset", "duplicate_headers", "problem",
+                    F.coalesce(*[F.when(F.col("dataset") == ds, I.missing_headers(F.col("headers"), ds))
+                                 for ds in I.S.FIELD_MAPS]).alias("missing_headers"))
+
+
+@register_raw("ingest_detect")
+def _ingest_detect(spark, sf_dir):
+    base = adapter.exports(spark, sf_dir)
+    return I.header_audit(spark, f"{base}/*/*.csv").select("file_name", "candidate_datasets", "dataset")
+
+
+@register_raw("ingest_provenance")
+def _ingest_provenance(spark, sf_dir):
+    return _ingested(spark, sf_dir, "wallet", "wallet").rows.select("zoho_record_id", "source_file",
+                                                                    "source_row_number")
+
+
+@register_raw("ingest_checksum")
+def _ingest_checksum(spark, sf_dir):
+    return I.checksums(spark, f"{adapter.exports(spark, sf_dir)}/*/*.csv")
+
+
+def _profile(dataset, folder):
+    def fn(spark, sf_dir):
+        return I.profile(_ingested(spark, sf_dir, folder, dataset).rows, dataset)
+    return fn
+
+
+register_raw("profile_wallet")(_profile("wallet", "wallet"))
+register_raw("profile_swap")(_profile("swap", "swap"))
+register_raw("profile_wallet_master")(_profile("wallet_master", "wallet_master"))
+
+
+@register_raw("validate_preview")
+def _preview(spark, sf_dir):
+    counts, _, _ = I.validate_preview(_ingested(spark, sf_dir, "swap", "swap").rows, "swap", ADAPTER_COUNTRIES)
+    return counts.drop("first_bad_country_record")
+
+
+@register_raw("validate_preview_countries")
+def _preview_countries(spark, sf_dir):
+    _, countries, statuses = I.validate_preview(_ingested(spark, sf_dir, "swap", "swap").rows, "swap",
+                                                ADAPTER_COUNTRIES)
+    return countries.select(F.lit("country").alias("kind"), F.col("country").alias("label"), "rows").unionByName(
+        statuses.select(F.lit("status").alias("kind"), F.col("status").alias("label"), "rows"))
+
+
+@register("dedup_latest")
+def _dedup(led):
+    return M.latest_per_record(adapter.revisions(led.wallet_transactions)).select(
+        "zoho_record_id", "status", "source_modified_at", "source_row_number")
+
+
+@register("merge_upsert")
+def _upsert(led):
+    merged = M.merge(led.wallet_transactions, adapter.revisions(led.wallet_transactions))
+    return merged.select("zoho_record_id", "status", "source_modified_at", "source_row_number",
+                         F.col("_applied").alias("applied"))
+
+
+@register("merge_idempotent")
+def _idempotent(led):
+    incoming = adapter.revisions(led.wallet_transactions)
+    first = M.merge(led.wallet_transactions, incoming)
+    second = M.merge(first.drop("_applied"), incoming)
+    a = first.agg(F.count(F.lit(1)).alias("rows"), F.count_if("_applied").alias("first_applied"))
+    b = second.agg(F.count_if("_applied").alias("second_applied"))
+    return a.crossJoin(b)
+
+
+_LOADED: dict[tuple[int, str], str] = {}
+
+
+def _loaded_store(spark, sf_dir) -> str:
+    """A store filled by one configured batch load of the clean exports
+    (once per session and folder)."""
+    key = (id(spark), sf_dir)
+    if key not in _LOADED:
+        base = adapter.exports(spark, sf_dir)
+        root = scratch_path(spark, "store")
+        files = {ds: [f"{base}/{ds}/*.csv"] for ds in ("wallet_master", "wallet", "swap")}
+        M.batch_load(spark, root, files)
+        _LOADED[key] = root
+    return _LOADED[key]
+
+
+@register_raw("batch_load")
+def _batch_load(spark, sf_dir):
+    root = _loaded_store(spark, sf_dir)
+    return store.committed(spark, root, "wallet_transactions").unionByName(
+        store.committed(spark, root, "swap_transactions")).unionByName(store.committed(spark, root, "wallets"))
+
+
+@register_raw("import_audit")
+def _import_audit(spark, sf_dir):
+    return M.import_batches(spark, _loaded_store(spark, sf_dir)).drop("imported_at")
+
+
+@register_raw("recent_imports")
+def _recent(spark, sf_dir):
+    return M.recent_imports(spark, _loaded_store(spark, sf_dir)).drop("imported_at")
+
+
+@register_raw("x_batch_log")
+def _x9(spark, sf_dir):
+    return M.import_batches(spark, _loaded_store(spark, sf_dir)).orderBy(F.desc("batch_id")).select(
+        "dataset", "source_file", "rows_read", "rows_applied", "min_created_on", "max_created_on")
+
+
+@register_raw("merge_atomic")
+def _atomic(spark, sf_dir):
+    """A strict import of the corrupted export fails and leaves no version."""
+    base = adapter.exports(spark, sf_dir)
+    root = scratch_path(spark, "store")
+    try:
+        M.import_file(spark, root, f"{base}/dirty_wallet/*.csv", "wallet", strict=True)
+        error = None
+    except ValueError as exc:
+        error = str(exc).split(": ", 1)[-1]
+    versions = store.committed(spark, root, "wallet_transactions").count()
+    return spark.createDataFrame([(error is not None, versions)], "failed boolean, committed_versions long")

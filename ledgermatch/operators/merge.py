@@ -15,8 +15,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -88,17 +89,21 @@ def import_file(spark: SparkSession, root: str, path: str, dataset: str | None =
     stats = merged.agg(F.count_if("_applied").alias("applied")).first()
     summary = staged.agg(F.count(F.lit(1)).alias("rows_read"), F.min("created_on").alias("lo"),
                          F.max("created_on").alias("hi")).first()
-    sha = csv_ingest.checksums(spark, path).first()
+    # one row per file of the unit; several files get one digest over their digests
+    sums = csv_ingest.checksums(spark, path).orderBy("source_file").collect()
+    source_file = ";".join(r.source_file for r in sums)
+    sha256 = sums[0].sha256 if len(sums) == 1 else \
+        hashlib.sha256("".join(r.sha256 for r in sums).encode()).hexdigest()
     batch = spark.createDataFrame(
-        [(ds, sha.source_file, sha.sha256, summary.rows_read, stats.applied, summary.lo, summary.hi,
+        [(ds, source_file, sha256, summary.rows_read, stats.applied, summary.lo, summary.hi,
           dt.datetime.now(dt.timezone.utc))],
         "dataset string, source_file string, sha256 string, rows_read long, rows_applied long, "
         "min_created_on timestamp_ntz, max_created_on timestamp_ntz, imported_at timestamp")
     version = store.commit(spark, root, table, {"data": merged.drop("_applied"), "batch": batch},
-                           note=sha.source_file, expected_version=current)
+                           note=source_file, expected_version=current)
     staged.unpersist()
     merged.unpersist()
-    return {"dataset": ds, "source_file": sha.source_file, "sha256": sha.sha256, "rows_read": summary.rows_read,
+    return {"dataset": ds, "source_file": source_file, "sha256": sha256, "rows_read": summary.rows_read,
             "rows_applied": stats.applied, "version": version,
             "min_created_on": summary.lo.isoformat() if summary.lo else None,
             "max_created_on": summary.hi.isoformat() if summary.hi else None}
@@ -118,8 +123,7 @@ def import_batches(spark: SparkSession, root: str) -> DataFrame:
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    # batch ids follow commit time (a single ordered window over the small audit log)
-    from pyspark.sql import Window
+    # batch ids follow commit time (one ordered window over the audit log: one row per import)
     return u.select(F.row_number().over(Window.orderBy("imported_at", "dataset", "_version")).cast("long")
                     .alias("batch_id"), *[c for c in u.columns if c != "_version"])
 

@@ -253,3 +253,92 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
             derive[name](spark, sf_dir).write.mode("overwrite").parquet(path)
         out.append(spark.read.parquet(path))
     return tuple(out)
+
+
+# --- derived import inputs (exports, a corrupted export, a revision batch) ---
+
+def _order_key(c: str = "zoho_record_id") -> Column:
+    return F.regexp_extract(F.col(c), r"^w[t2]?-(\d+)", 1).cast("bigint")
+
+
+def dirty_overrides() -> dict[str, Column]:
+    """Text replacements that make some wallet records invalid (first rule wins).
+
+    k%97 'NaN' amount; k%89 'not-a-number' amount; k%83 seven fractional
+    digits; k%79 a timestamp with an offset; k%73 an impossible date; k%71 a
+    partial timestamp in Modified Time; k%61 a blank record id. Valid but
+    unusual: k%7 ' 1e2 ' amount, k%5 a leading '+' on the amount."""
+    k = _order_key()
+    amount_text = F.col("amount").cast("string")
+    amount = (F.when(_m(k, 97), F.lit("NaN"))
+              .when(_m(k, 89), F.lit("not-a-number"))
+              .when(_m(k, 83), F.lit("1.1234567"))
+              .when(_m(k, 79) | _m(k, 73) | _m(k, 71) | _m(k, 61), amount_text)
+              .when(_m(k, 7), F.lit(" 1e2 "))
+              .when(_m(k, 5) & F.col("amount").isNotNull(), F.concat(F.lit("+"), amount_text))
+              .otherwise(amount_text))
+    created = F.date_format("created_on", "yyyy-MM-dd HH:mm:ss")
+    created = (F.when(_m(k, 97) | _m(k, 89) | _m(k, 83), created)
+               .when(_m(k, 79), F.lit("2026-09-23T12:00:00+03:00"))
+               .when(_m(k, 73), F.lit("2026-02-30 10:00:00"))
+               .otherwise(created))
+    modified = F.date_format("source_modified_at", "yyyy-MM-dd HH:mm:ss")
+    modified = F.when(_m(k, 71) & ~(_m(k, 97) | _m(k, 89) | _m(k, 83) | _m(k, 79) | _m(k, 73)),
+                      F.lit("2026-09")).otherwise(modified)
+    rid = F.when(_m(k, 61) & ~(_m(k, 97) | _m(k, 89) | _m(k, 83) | _m(k, 79) | _m(k, 73) | _m(k, 71)),
+                 F.lit("   ")).otherwise(F.col("zoho_record_id"))
+    return {"Amount": amount, "Created On": created, "Modified Time": modified, "Record Id": rid}
+
+
+def exports(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of CSV exports written from the stored ledgers (once per source):
+    ``wallet/``, ``swap/``, ``wallet_master/`` (with a Wallet Pin column) and
+    ``dirty_wallet/``. Several part files per dataset."""
+    from . import csv_ingest
+
+    base = f"{work_root(spark)}/exports-{_signature(sf_dir)}"
+    w, wt, sw = stored(spark, sf_dir)
+    pin = F.concat(F.lit("PIN-"), F.substring(F.sha2(F.col("zoho_record_id"), 256), 1, 6))
+    jobs = {
+        "wallet": lambda p: csv_ingest.export_csv(wt, "wallet", p),
+        "swap": lambda p: csv_ingest.export_csv(sw, "swap", p),
+        "wallet_master": lambda p: csv_ingest.export_csv(w, "wallet_master", p, extra={"Wallet Pin": pin}),
+        "dirty_wallet": lambda p: csv_ingest.export_csv(wt, "wallet", p, overrides=dirty_overrides()),
+    }
+    for name, job in jobs.items():
+        if not _exists(spark, f"{base}/{name}"):
+            job(f"{base}/{name}")
+    return base
+
+
+def revisions(wallet_tx: DataFrame) -> DataFrame:
+    """An incoming batch for the versioned merge, derived from the stored
+    wallet ledger: every row once (unchanged), plus for k%3 a newer copy with
+    status 'Reversed', for k%4 an older copy with status 'Old', for k%5 a
+    same-version copy with status 'Tie' and a higher row number, and new
+    records 'wt-new-<k>' for k%9."""
+    k = _order_key()
+    base = wallet_tx.withColumn("_k", k)
+    day = F.expr("INTERVAL 1 DAY")
+
+    def copy(cond, status, shift, row_add, new_id=False):
+        c = base.filter(cond(F.col("_k")))
+        c = c.withColumn("status", F.lit(status))
+        if shift is not None:
+            c = c.withColumn("source_modified_at", F.col("source_modified_at") + shift)
+        c = c.withColumn("source_row_number", F.col("source_row_number") + row_add)
+        if new_id:
+            c = c.withColumn("zoho_record_id", F.concat(F.lit("wt-new-"), F.col("_k").cast("string")))
+        return c.withColumn("raw_record", F.concat(F.col("raw_record"), F.lit("|"), F.lit(status)))
+
+    parts = [
+        base,
+        copy(lambda c: _m(c, 3), "Reversed", day, 1_000_000),
+        copy(lambda c: _m(c, 4), "Old", -day, 2_000_000),
+        copy(lambda c: _m(c, 5), "Tie", None, 3_000_000),
+        copy(lambda c: _m(c, 9), "Committed", None, 4_000_000, new_id=True),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("_k")

@@ -140,7 +140,8 @@ class IngestResult:
 
     dataset: str
     rows: DataFrame      # typed table rows (table columns + provenance)
-    rejects: DataFrame   # (source_file, source_row_number, reject_reason)
+    rejects: DataFrame   # (source_file, source_row_number, record_text, reject_message, reject_reason)
+    parsed: DataFrame    # every record: typed fields + reject columns (NULL when accepted)
 
 
 def read_typed(spark: SparkSession, files: list[str], dataset: str, headers: list[str],
@@ -174,13 +175,15 @@ def read_typed(spark: SparkSession, files: list[str], dataset: str, headers: lis
     stamped = raw.select(
         *typed, "source_file", "source_row_number", raw_record.alias("raw_record"),
         (imported_at if imported_at is not None else F.current_timestamp()).alias("imported_at"),
+        by_header["Record Id"].alias("record_text"),
+        reason.alias("reject_message"),
         F.when(reason.isNotNull(), F.concat(F.lit("record "), F.col("source_row_number").cast("string"),
                                             F.lit(": "), reason)).alias("reject_reason"))
     table_cols = S.TABLE_COLUMNS[dataset] + S.PROVENANCE
     rows = stamped.filter(F.col("reject_reason").isNull()).select(*table_cols)
     rejects = stamped.filter(F.col("reject_reason").isNotNull()).select(
-        "source_file", "source_row_number", "reject_reason")
-    return IngestResult(dataset, rows, rejects)
+        "source_file", "source_row_number", "record_text", "reject_message", "reject_reason")
+    return IngestResult(dataset, rows, rejects, stamped)
 
 
 def ingest(spark: SparkSession, paths: str | list[str], dataset: str | None = None) -> dict[str, IngestResult]:
@@ -202,7 +205,8 @@ def ingest(spark: SparkSession, paths: str | list[str], dataset: str | None = No
         res = read_typed(spark, sorted(files), ds, list(headers))
         if ds in out:
             prev = out[ds]
-            res = IngestResult(ds, prev.rows.unionByName(res.rows), prev.rejects.unionByName(res.rejects))
+            res = IngestResult(ds, prev.rows.unionByName(res.rows), prev.rejects.unionByName(res.rejects),
+                               prev.parsed.unionByName(res.parsed, allowMissingColumns=True))
         out[ds] = res
     return out
 
@@ -252,6 +256,7 @@ def validate_preview(rows: DataFrame, dataset: str,
                        F.lit("Unspecified"))
     counts = rows.agg(
         F.lit(dataset).alias("dataset"),
+        F.count_if(~in_domain | F.col("country").isNull()).alias("out_of_domain_rows"),
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("zoho_record_id").alias("distinct_record_ids"),
         (F.count(F.lit(1)) - F.count_distinct("zoho_record_id")).alias("duplicate_record_id_rows"),
@@ -264,14 +269,20 @@ def validate_preview(rows: DataFrame, dataset: str,
         rows.groupBy(label.alias("status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def export_csv(df: DataFrame, dataset: str, path: str) -> None:
+def export_csv(df: DataFrame, dataset: str, path: str, overrides: dict[str, Column] | None = None,
+               extra: dict[str, Column] | None = None) -> None:
     """Write ledger rows as an export with the source headers (test inputs,
-    round trips). Text is written verbatim; decimals keep their scale."""
+    round trips). Text is written verbatim; decimals keep their scale.
+    ``overrides`` replace a header's text, ``extra`` adds columns."""
+    overrides = overrides or {}
     cols = []
     for col, header, kind in S.FIELD_MAPS[dataset]:
         c = F.col(col)
         if kind == "timestamp":
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        c = overrides.get(header, c.cast("string"))
+        cols.append(c.cast("string").alias(header))
+    for header, c in (extra or {}).items():
         cols.append(c.cast("string").alias(header))
     (df.select(*cols).write.mode("overwrite")
      .options(header="true", escape='"', quote='"', ignoreLeadingWhiteSpace="false",
