@@ -585,3 +585,129 @@ def _atomic(spark, sf_dir):
         error = str(exc).split(": ", 1)[-1]
     versions = store.committed(spark, root, "wallet_transactions").count()
     return spark.createDataFrame([(error is not None, versions)], "failed boolean, committed_versions long")
+
+
+# --- M1-M5 gold tables, E1-E6 exports -------------------------------------------
+
+from .sinks import exports as E  # noqa: E402
+from .sinks import gold as GOLD  # noqa: E402
+
+# column kinds of the exported reports (for the text rules): s text, d decimal,
+# t timestamp, a array, b boolean, n integer, dt date
+WALLET_GAP_KINDS = [("country", "s"), ("wallet_record_id", "s"), ("transaction_id", "s"), ("wallet_reference", "s"),
+                    ("wallet_id", "s"), ("wallet_code", "s"), ("customer_id", "s"), ("customer_reference", "s"),
+                    ("customer_name", "s"), ("wallet_amount", "d"), ("currency", "s"), ("created_on", "t"),
+                    ("wallet_status", "s"), ("transaction_type", "s"), ("settled_against", "s"),
+                    ("missing_counterpart_reason", "s"), ("observed_first_swap", "t"), ("observed_last_swap", "t"),
+                    ("date_context", "s"), ("source_file", "s"), ("source_row_number", "n"),
+                    ("source_coverage_status", "s")]
+SWAP_GAP_KINDS = [("country", "s"), ("swap_record_id", "s"), ("transaction_id", "s"), ("swap_reference", "s"),
+                  ("customer_id", "s"), ("customer_name", "s"), ("mapped_customer_references", "a"),
+                  ("mapped_wallet_record_ids", "a"), ("swap_amount", "d"), ("currency", "s"),
+                  ("currency_candidates", "a"), ("created_on", "t"), ("swap_date", "dt"), ("swap_status", "s"),
+                  ("payment_method", "s"), ("wallet_payment_expected", "b"), ("vehicle_registration", "s"),
+                  ("station_label", "s"), ("station_code", "s"), ("city", "s"), ("missing_counterpart_reason", "s"),
+                  ("observed_first_wallet_deduction", "t"), ("observed_last_wallet_deduction", "t"),
+                  ("date_context", "s"), ("source_file", "s"), ("source_row_number", "n"),
+                  ("source_coverage_status", "s")]
+REVIEW_EXPORT_KINDS = [(c, {"wallet_amount": "d", "successful_swap_amount": "d", "wallet_created_on": "t",
+                            "successful_swap_created_on": "t", "review_reasons": "a", "swap_references": "a",
+                            "successful_payment_methods": "a", "swap_count": "n",
+                            "successful_swap_count": "n"}.get(c, "s")) for c in E.REVIEW_EXPORT_FIELDS]
+DETAIL_KINDS = [(c, {"wallet_amount": "d", "successful_swap_amount": "d", "wallet_created_on": "t",
+                     "successful_swap_created_on": "t", "observed_first_swap": "t", "observed_last_swap": "t",
+                     "wallet_mapping_modified_at": "t", "review_reasons": "a", "swap_references": "a",
+                     "successful_payment_methods": "a", "swap_count": "n", "successful_swap_count": "n",
+                     "wallet_count": "n", "needs_review": "b"}.get(c, "s")) for c in Q.DETAIL_FIELDS]
+EXPORT_GROUP = "unmatchable_wallets"
+CAPPED_GROUP = "unmatchable_swaps"
+
+
+def _gold_root(spark, sf_dir) -> str:
+    """Gold of the stored ledgers of ``sf_dir``, refreshed when stale."""
+    from .session import work_root
+
+    root = f"{work_root(spark)}/gold-{adapter._signature(sf_dir)}"
+    GOLD.refresh(spark, root, ledgers(spark, sf_dir), revision=adapter._signature(sf_dir))
+    return root
+
+
+@register_raw("gold_reconciliation")
+def _gold_recon(spark, sf_dir):
+    return GOLD.read(spark, _gold_root(spark, sf_dir), "reconciliation")
+
+
+@register_raw("gold_wallet_gaps")
+def _gold_wallet(spark, sf_dir):
+    return GOLD.read(spark, _gold_root(spark, sf_dir), "wallet_gaps")
+
+
+@register_raw("gold_swap_gaps")
+def _gold_swap(spark, sf_dir):
+    return GOLD.read(spark, _gold_root(spark, sf_dir), "swap_gaps")
+
+
+@register_raw("gold_summary_groups")
+def _gold_summary(spark, sf_dir):
+    return Q.summary_groups(GOLD.read(spark, _gold_root(spark, sf_dir), "reconciliation"))
+
+
+@register_raw("gold_equals_live")
+def _gold_live(spark, sf_dir):
+    gold = comparable(GOLD.read(spark, _gold_root(spark, sf_dir), "reconciliation"))
+    live = comparable(R.backend_reconciliation(ledgers(spark, sf_dir)))
+    return GOLD.difference(live, gold).select(F.col("left_only").alias("live_only"),
+                                              F.col("right_only").alias("gold_only"))
+
+
+@register_raw("gold_staleness")
+def _gold_stale(spark, sf_dir):
+    root = _gold_root(spark, sf_dir)
+    rev = adapter._signature(sf_dir)
+    return spark.createDataFrame([(GOLD.is_fresh(spark, root, rev), GOLD.is_fresh(spark, root, rev + "+1"))],
+                                 "fresh_for_current boolean, fresh_for_newer boolean")
+
+
+@register_raw("gold_refresh")
+def _gold_refresh(spark, sf_dir):
+    root = _gold_root(spark, sf_dir)
+    again = GOLD.refresh(spark, root, ledgers(spark, sf_dir), revision=adapter._signature(sf_dir))
+    return store.committed(spark, root, GOLD.GOLD).select("version", F.lit(again).alias("rebuilt_again"))
+
+
+@register("review_candidates")
+def _e1(led):
+    return E.review_candidates(R.backend_reconciliation(led))
+
+
+@register_raw("review_summary")
+def _e2(spark, sf_dir):
+    led = ledgers(spark, sf_dir)
+    s = E.write_review_report(spark, R.backend_reconciliation(led), scratch_path(spark, "reports"))
+    return spark.createDataFrame([(s["deduction_count"], s["needs_review_count"], s["candidate_count"])],
+                                 "deduction_count long, needs_review_count long, candidate_count long")
+
+
+@register_raw("missing_export")
+def _e3(spark, sf_dir):
+    led = ledgers(spark, sf_dir)
+    root = scratch_path(spark, "reports")
+    s = E.write_missing_reports(spark, led, root)
+    base = f"{root}/missing_counterparts/v={s['version']:08d}"
+    return spark.read.options(header="true", escape='"', multiLine="true").schema(
+        ", ".join(f"`{c}` string" for c, _ in WALLET_GAP_KINDS)).csv(f"{base}/wallet_without_swap")
+
+
+@register("csv_protect")
+def _e5(led):
+    return E.tracking_export(led, EXPORT_GROUP, _filters())
+
+
+@register("capped_export")
+def _e4(led):
+    return E.tracking_export(led, CAPPED_GROUP, _filters())
+
+
+@register("serialize_values")
+def _e6(led):
+    return E.as_text(Q.page_frame(R.backend_reconciliation(led), limit=PAGE_LIMIT))
