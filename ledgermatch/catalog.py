@@ -46,10 +46,16 @@ TRACKING_CURSOR = "wt-5000"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_LEDGERS: dict[tuple[int, str, str], R.Ledgers] = {}
+
+
 def ledgers(spark: SparkSession, sf_dir: str) -> R.Ledgers:
-    """The stored ledgers derived from ``sf_dir`` (derived on first use)."""
-    w, wt, sw = adapter.stored(spark, sf_dir)
-    return R.Ledgers(w, wt, sw)
+    """The stored ledgers derived from ``sf_dir`` (derived on first use; the
+    DataFrames -- plans over the stored files -- are reused within a session)."""
+    key = (id(spark), sf_dir, adapter._signature(sf_dir))
+    if key not in _LEDGERS:
+        _LEDGERS[key] = R.Ledgers(*adapter.stored(spark, sf_dir))
+    return _LEDGERS[key]
 
 
 def comparable(df: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ NATION_WITHOUT_SWAPS = 24
 NATION_WITHOUT_SWAP_TIMES = 23
 IMPORTED_AT = "2026-10-05 00:00:00"
 MASTER_CREATED_ON = "1994-06-01 00:00:00"
+EXPORT_FILES = 8
 # --- end of fixed values --------------------------------------------------
 
 
@@ -296,8 +297,9 @@ def exports(spark: SparkSession, sf_dir: str) -> str:
     ``dirty_wallet/``. Several part files per dataset."""
     from . import csv_ingest
 
-    base = f"{work_root(spark)}/exports-{_signature(sf_dir)}"
-    w, wt, sw = stored(spark, sf_dir)
+    base = f"{work_root(spark)}/exports-v2-{_signature(sf_dir)}"
+    # a drop folder of several files (a multiLine CSV file is read by one task)
+    w, wt, sw = (df.repartition(EXPORT_FILES, "zoho_record_id") for df in stored(spark, sf_dir))
     pin = F.concat(F.lit("PIN-"), F.substring(F.sha2(F.col("zoho_record_id"), 256), 1, 6))
     jobs = {
         "wallet": lambda p: csv_ingest.export_csv(wt, "wallet", p),

@@ -22,7 +22,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,12 +155,13 @@ def read_typed(spark: SparkSession, files: list[str], dataset: str, headers: lis
                               + [T.StructField(CORRUPT, T.StringType())])
     raw = (spark.read.options(**CSV_OPTIONS).schema(positional).csv(files)
            .select("*", F.col("_metadata.file_name").alias("source_file"),
+                   F.col("_metadata.file_path").alias("_path"),
                    F.monotonically_increasing_id().alias("_pos")))
-    # 1-based record number per file: rows of a file are contiguous in one
-    # task (multiLine files are never split), so subtract the file's first id.
-    first = raw.groupBy("source_file").agg(F.min("_pos").alias("_first"))
-    raw = raw.join(F.broadcast(first), "source_file").withColumn(
-        "source_row_number", (F.col("_pos") - F.col("_first") + 1).cast("bigint"))
+    # 1-based record number per file, in file order: a multiLine file is read
+    # whole by one task, so this window keeps each file in one task as well
+    # (one parse; the shuffle is by file).
+    raw = raw.withColumn("source_row_number", F.row_number().over(
+        Window.partitionBy("_path").orderBy("_pos")).cast("bigint"))
     by_header = {h: F.col(f"c{i}") for i, h in enumerate(headers)}
     typed, errors = [], []
     for col, header, kind in S.FIELD_MAPS[dataset]:
