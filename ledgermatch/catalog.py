@@ -556,27 +556,32 @@ def _loaded_store(spark, sf_dir) -> str:
     return _LOADED[key]
 
 
+# Part-file names and digests are random per export run: compared columns
+# leave them out (they are checked by ``ingest_checksum`` / tests).
+AUDIT_COLS = ["batch_id", "dataset", "rows_read", "rows_applied", "min_created_on", "max_created_on"]
+
+
 @register_raw("batch_load")
 def _batch_load(spark, sf_dir):
     root = _loaded_store(spark, sf_dir)
-    return store.committed(spark, root, "wallet_transactions").unionByName(
-        store.committed(spark, root, "swap_transactions")).unionByName(store.committed(spark, root, "wallets"))
+    parts = [store.committed(spark, root, t).select(F.lit(t).alias("table_name"), "version")
+             for t in ("wallets", "wallet_transactions", "swap_transactions")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register_raw("import_audit")
 def _import_audit(spark, sf_dir):
-    return M.import_batches(spark, _loaded_store(spark, sf_dir)).drop("imported_at")
+    return M.import_batches(spark, _loaded_store(spark, sf_dir)).select(*AUDIT_COLS)
 
 
 @register_raw("recent_imports")
 def _recent(spark, sf_dir):
-    return M.recent_imports(spark, _loaded_store(spark, sf_dir)).drop("imported_at")
+    return M.recent_imports(spark, _loaded_store(spark, sf_dir)).select(*AUDIT_COLS)
 
 
 @register_raw("x_batch_log")
 def _x9(spark, sf_dir):
-    return M.import_batches(spark, _loaded_store(spark, sf_dir)).orderBy(F.desc("batch_id")).select(
-        "dataset", "source_file", "rows_read", "rows_applied", "min_created_on", "max_created_on")
+    return M.import_batches(spark, _loaded_store(spark, sf_dir)).orderBy(F.desc("batch_id")).select(*AUDIT_COLS)
 
 
 @register_raw("merge_atomic")

@@ -20,7 +20,7 @@ def con():
 def test_every_query_is_registered_with_sql_or_documented():
     rows_only = set(QUERIES) - set(SQL)
     assert rows_only <= {"ingest_header_check", "ingest_detect", "ingest_provenance", "ingest_checksum",
-                         "batch_load", "import_audit", "recent_imports", "x_batch_log", "merge_atomic",
+                         "merge_atomic",
                          "gold_staleness", "gold_refresh"}
     assert set(SQL) <= set(QUERIES)
 
