@@ -195,7 +195,7 @@ def _page_review(led):
 
 @register("record_detail")
 def _detail(led):
-    return Q.record_detail(_recon(led), DETAIL_RECORD, countries=ADAPTER_COUNTRIES)
+    return Q.record_detail(R.record_detail_live(led, DETAIL_RECORD), DETAIL_RECORD, countries=ADAPTER_COUNTRIES)
 
 
 @register("overview_cards")

@@ -167,10 +167,14 @@ def observed_bounds(swap_transactions: DataFrame) -> DataFrame:
         F.max("created_on").alias("observed_last_swap"))
 
 
-def backend_reconciliation(led: Ledgers) -> DataFrame:
-    """The full reconciliation result (flagship)."""
+def backend_reconciliation(led: Ledgers, bounds_from: DataFrame | None = None) -> DataFrame:
+    """The full reconciliation result (flagship).
+
+    ``bounds_from``: the swaps the per-country observed bounds come from when
+    ``led`` holds only a key-restricted slice (point lookups); default all."""
     r = customer_review(led)
-    bounds = observed_bounds(led.swap_transactions).withColumnRenamed("country", "_b_country")
+    swaps = bounds_from if bounds_from is not None else led.swap_transactions
+    bounds = observed_bounds(swaps).withColumnRenamed("country", "_b_country")
     j = join_small(r, bounds, r.country == bounds._b_country, "left")
     reasons = rules.review_reasons(
         F.col("reconciliation_status"), F.col("payment_method_needs_review"),
@@ -188,3 +192,28 @@ def backend_reconciliation(led: Ledgers) -> DataFrame:
         (F.size("review_reasons") > 0).alias("needs_review"),
         F.lit(C.NOT_VERIFIED).alias("source_coverage_status"),
     )
+
+
+def key_slice(led: Ledgers, country, transaction_id) -> Ledgers:
+    """Ledgers restricted to one ``(country, transaction_id)`` key (NULL matches
+    NULL, as in the duplicate check); the filters reach both parquet scans."""
+    def on_key(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("country").eqNullSafe(F.lit(country).cast("string"))
+                         & F.col("transaction_id").eqNullSafe(F.lit(transaction_id).cast("string")))
+    return Ledgers(led.wallets, on_key(led.wallet_transactions), on_key(led.swap_transactions))
+
+
+def record_detail_live(led: Ledgers, wallet_record_id: str) -> DataFrame:
+    """Q5 on the live plan as a point lookup: one small job finds the debit's
+    key, then only that key's rows of both ledgers are read (the duplicate
+    check still sees the complete key); the observed bounds read all swaps of
+    the debit's country only."""
+    target = (eligible_debits(led.wallet_transactions)
+              .filter(F.col("zoho_record_id") == wallet_record_id)
+              .select("country", "transaction_id").first())
+    if target is None:
+        return backend_reconciliation(key_slice(led, None, None)).limit(0)
+    sliced = key_slice(led, target.country, target.transaction_id)
+    same_country = led.swap_transactions.filter(F.col("country") == F.lit(target.country).cast("string"))
+    recon = backend_reconciliation(sliced, bounds_from=same_country)
+    return recon.filter(F.col("wallet_record_id") == wallet_record_id)

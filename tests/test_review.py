@@ -147,3 +147,14 @@ def test_overview_rollup(recon):
     assert (cards.total, cards.matched, cards.needs_review, cards.no_loaded_swap) == (19, 10, 15, 2)
     by = {r.country: r for r in Q.overview_by_country(groups).collect()}
     assert by["Rwanda"].matched_pct == "50.00" and by["Kenya"].total == 17
+
+
+@pytest.mark.parametrize("rid", ["duplicate_wallet_a", "missing_tx", "shared_rw", "after_cutoff", "unmapped"])
+def test_live_point_lookup_equals_full_result(led_a, recon, rid):
+    live = R.record_detail_live(led_a, rid).drop("wallet_imported_at").collect()
+    full = recon.filter(f"wallet_record_id = '{rid}'").drop("wallet_imported_at").collect()
+    assert live == full and len(live) == 1
+
+
+def test_live_point_lookup_of_excluded_record_is_empty(led_a):
+    assert R.record_detail_live(led_a, "credit_excluded").count() == 0
