@@ -59,10 +59,10 @@ def ledgers(spark: SparkSession, sf_dir: str) -> R.Ledgers:
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Arrays as text; load-clock timestamps dropped."""
+    """Arrays as text; load-clock timestamps and written-scale columns dropped."""
     cols = []
     for f in df.schema.fields:
-        if f.name.endswith("imported_at"):
+        if f.name.endswith("imported_at") or f.name.endswith("_scale"):
             continue
         if isinstance(f.dataType, T.ArrayType):
             cols.append(arrays.render(F.col(f.name)).alias(f.name))

@@ -61,16 +61,25 @@ def eligible_debits(wallet_transactions: DataFrame) -> DataFrame:
 def swap_groups(swap_transactions: DataFrame) -> DataFrame:
     """R2 on its own: per (country, non-NULL transaction id) swap statistics."""
     s = swap_transactions.filter(F.col("transaction_id").isNotNull())
+    s = s.withColumn("swap_amount_scale", scale_of(s, "swap_amount"))
     ok = F.col("status") == C.SWAP_SUCCESS
     return s.groupBy("country", "transaction_id").agg(*_swap_aggs(F.lit(True), ok))
 
 
+def scale_of(df: DataFrame, col: str) -> Column:
+    """The written-scale column of a decimal column, or NULL when the table
+    keeps none (then the type's scale applies)."""
+    name = col + "_scale"
+    return F.col(name) if name in df.columns else F.lit(None).cast("int")
+
+
 def _swap_aggs(is_swap: Column, ok: Column) -> list[Column]:
     succ = is_swap & ok
     return [
         F.count_if(is_swap).alias("swap_count"),
         F.count_if(succ).alias("successful_swap_count"),
         F.min(F.when(succ, F.col("swap_amount"))).alias("successful_swap_amount"),
+        F.min_by(F.col("swap_amount_scale"), F.when(succ, F.col("swap_amount"))).alias("successful_swap_amount_scale"),
         F.min(F.when(succ, F.col("created_on"))).alias("successful_swap_created_on"),
         arrays.distinct_sorted(F.col("swap_reference"), where=is_swap).alias("swap_references"),
         arrays.distinct_sorted(F.col("customer_id"), where=is_swap & F.col("customer_id").isNotNull(),
@@ -86,6 +95,7 @@ def key_statistics(debits: DataFrame, swap_transactions: DataFrame) -> DataFrame
                       F.lit(False).alias("_swap"),
                       F.lit(None).cast("string").alias("status"),
                       F.lit(None).cast(swap_transactions.schema["swap_amount"].dataType).alias("swap_amount"),
+                      F.lit(None).cast("int").alias("swap_amount_scale"),
                       F.lit(None).cast(swap_transactions.schema["created_on"].dataType).alias("created_on"),
                       F.lit(None).cast("string").alias("swap_reference"),
                       F.lit(None).cast("string").alias("customer_id"),
@@ -93,7 +103,8 @@ def key_statistics(debits: DataFrame, swap_transactions: DataFrame) -> DataFrame
     s = swap_transactions.filter(
         F.col("transaction_id").isNotNull() & F.col("country").isNotNull()
     ).select(*_normalised_keys(F.col("country"), F.col("transaction_id")),
-             F.lit(True).alias("_swap"), "status", "swap_amount", "created_on",
+             F.lit(True).alias("_swap"), "status", "swap_amount",
+             scale_of(swap_transactions, "swap_amount").alias("swap_amount_scale"), "created_on",
              "swap_reference", "customer_id", "payment_method")
     is_swap = F.col("_swap")
     return d.unionByName(s).groupBy(*KEYS).agg(
@@ -107,6 +118,7 @@ def wallet_swap_review(led: Ledgers) -> DataFrame:
     debits = eligible_debits(led.wallet_transactions).select(
         "zoho_record_id", "transaction_id", "reference", "wallet_id", "wallet_label", "country",
         "amount", "created_on", "source_file", "imported_at",
+        scale_of(led.wallet_transactions, "amount").alias("_amount_scale"),
         *_normalised_keys(F.col("country"), F.col("transaction_id")))
     stats = key_statistics(debits, led.swap_transactions)
     j = debits.join(stats, KEYS, "inner")
@@ -129,6 +141,8 @@ def wallet_swap_review(led: Ledgers) -> DataFrame:
         .alias("payment_method_needs_review"),
         F.col("source_file").alias("wallet_source_file"),
         F.col("imported_at").alias("wallet_imported_at"),
+        F.col("_amount_scale").alias("wallet_amount_scale"),
+        "successful_swap_amount_scale",
     )
 
 

@@ -127,9 +127,25 @@ def headers_of(dataset: str) -> list[str]:
     return [header for _, header, _ in FIELD_MAPS[dataset]]
 
 
+SCALE_SUFFIX = "_scale"
+
+
+def scale_columns(dataset: str) -> list[str]:
+    """Written scale (fractional digits as exported) of each decimal column:
+    values are exact DECIMAL(28,6); the scale keeps ``120.10`` printing as
+    ``120.10``."""
+    kinds = kind_of(dataset)
+    return [c + SCALE_SUFFIX for c in TABLE_COLUMNS[dataset] if kinds[c] == "decimal"]
+
+
+def stored_columns(dataset: str) -> list[str]:
+    return TABLE_COLUMNS[dataset] + scale_columns(dataset) + PROVENANCE
+
+
 def table_schema(dataset: str) -> T.StructType:
     kinds = kind_of(dataset)
     fields = [T.StructField(c, _KIND_TYPES[kinds[c]], c != "zoho_record_id") for c in TABLE_COLUMNS[dataset]]
+    fields += [T.StructField(c, T.IntegerType(), True) for c in scale_columns(dataset)]
     fields += [
         T.StructField("source_file", T.StringType(), False),
         T.StructField("source_row_number", T.LongType(), False),

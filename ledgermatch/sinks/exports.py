@@ -67,8 +67,29 @@ def text_value(c: Column, dtype: T.DataType, protect: bool) -> Column:
     return c.cast("string")
 
 
+def decimal_text(c: Column, dtype: T.DecimalType, scale: Column) -> Column:
+    """Exact decimal text with the written scale (the stored type may carry
+    more fractional digits: '120.100000' with scale 2 -> '120.10')."""
+    text = c.cast("string")
+    cut = F.when(scale == 0, F.lit(dtype.scale + 1)).otherwise(F.lit(dtype.scale) - scale)
+    return F.when(scale.isNull() | (scale >= dtype.scale) | (dtype.scale == 0), text).otherwise(
+        F.left(text, F.length(text) - cut))
+
+
 def as_text(df: DataFrame, protect: bool = False) -> DataFrame:
-    return df.select(*[text_value(F.col(f.name), f.dataType, protect).alias(f.name) for f in df.schema.fields])
+    """All columns as report text; ``<col>_scale`` columns shape their decimal
+    and are not exported themselves."""
+    names = set(df.columns)
+    out = []
+    for f in df.schema.fields:
+        if f.name.endswith("_scale") and f.name[: -len("_scale")] in names:
+            continue
+        scale = f.name + "_scale"
+        if isinstance(f.dataType, T.DecimalType) and scale in names:
+            out.append(decimal_text(F.col(f.name), f.dataType, F.col(scale)).alias(f.name))
+        else:
+            out.append(text_value(F.col(f.name), f.dataType, protect).alias(f.name))
+    return df.select(*out)
 
 
 def capped(df: DataFrame, cap: int = C.MAX_EXPORT) -> DataFrame:
@@ -82,7 +103,8 @@ def capped(df: DataFrame, cap: int = C.MAX_EXPORT) -> DataFrame:
 def review_candidates(recon: DataFrame, filters: Q.ReconciliationFilter | None = None) -> DataFrame:
     """E1 rows: needs-review debits, fixed fields, record-id order, unprotected text."""
     r = Q.filtered(recon, filters).filter(F.col("needs_review"))
-    return as_text(r.select(*REVIEW_EXPORT_FIELDS)).orderBy("wallet_record_id")
+    scales = [c for c in ("wallet_amount_scale", "successful_swap_amount_scale") if c in r.columns]
+    return as_text(r.select(*REVIEW_EXPORT_FIELDS, *scales)).orderBy("wallet_record_id")
 
 
 def _publish(spark: SparkSession, root: str, report: str, parts: dict[str, DataFrame], summary: dict) -> int:

@@ -218,9 +218,15 @@ LEDGER_NAMES = ("wallets", "wallet_transactions", "swap_transactions")
 SOURCE_TABLES = ("orders", "customer", "nation", "lineitem")
 
 
+# Bumped whenever the derived tables' layout changes, so stored copies made by
+# older code are never reused.
+LAYOUT_VERSION = "3"
+
+
 def _signature(sf_dir: str) -> str:
-    """Folder name part that changes when the source tables change."""
-    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir]
+    """Folder name part that changes when the source tables (or the derived
+    layout) change."""
+    parts = [LAYOUT_VERSION, os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir]
     for t in SOURCE_TABLES:
         path = f"{sf_dir.rstrip('/')}/{t}.parquet"
         try:
@@ -297,7 +303,7 @@ def exports(spark: SparkSession, sf_dir: str) -> str:
     ``dirty_wallet/``. Several part files per dataset."""
     from . import csv_ingest
 
-    base = f"{work_root(spark)}/exports-v2-{_signature(sf_dir)}"
+    base = f"{work_root(spark)}/exports-{_signature(sf_dir)}"
     # a drop folder of several files (a multiLine CSV file is read by one task)
     w, wt, sw = (df.repartition(EXPORT_FILES, "zoho_record_id") for df in stored(spark, sf_dir))
     pin = F.concat(F.lit("PIN-"), F.substring(F.sha2(F.col("zoho_record_id"), 256), 1, 6))

@@ -98,6 +98,16 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(c.isNull() | c.rlike(BLANK_RE), F.lit(None).cast("string")).otherwise(c)
 
 
+def written_scale(raw: Column) -> Column:
+    """Fractional digits as written (exponent applied, never negative):
+    '120.10' -> 2, '7' -> 0, '1.5e1' -> 0, '15e-3' -> 3."""
+    t = F.trim(raw)
+    mantissa = F.regexp_replace(F.regexp_replace(t, r"^[+-]", ""), r"[eE].*$", "")
+    frac = F.length(F.regexp_extract(mantissa, r"\.(\d*)$", 1))
+    exp = F.coalesce(F.regexp_extract(t, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    return F.greatest(frac - exp, F.lit(0))
+
+
 def _parse(raw: Column, kind: str, field: str) -> tuple[Column, Column]:
     """(typed value, error message or NULL) for one field."""
     v = _blank_to_null(raw)
@@ -163,24 +173,27 @@ def read_typed(spark: SparkSession, files: list[str], dataset: str, headers: lis
     raw = raw.withColumn("source_row_number", F.row_number().over(
         Window.partitionBy("_path").orderBy("_pos")).cast("bigint"))
     by_header = {h: F.col(f"c{i}") for i, h in enumerate(headers)}
-    typed, errors = [], []
+    typed, errors, scales = [], [], []
     for col, header, kind in S.FIELD_MAPS[dataset]:
         value, err = _parse(by_header[header], kind, header)
         typed.append(value.alias(col))
         errors.append(err)
+        if kind == "decimal":
+            scales.append(F.when(value.isNotNull(), written_scale(by_header[header]))
+                          .alias(col + S.SCALE_SUFFIX))
     kept = [h for h in headers if h not in sensitive]
     raw_record = F.to_json(F.struct(*[F.coalesce(by_header[h], F.lit("")).alias(h) for h in kept]))
     reason = F.coalesce(
         F.when(F.col(CORRUPT).isNotNull(), F.lit("has the wrong number of fields")),
         *errors)
     stamped = raw.select(
-        *typed, "source_file", "source_row_number", raw_record.alias("raw_record"),
+        *typed, *scales, "source_file", "source_row_number", raw_record.alias("raw_record"),
         (imported_at if imported_at is not None else F.current_timestamp()).alias("imported_at"),
         by_header["Record Id"].alias("record_text"),
         reason.alias("reject_message"),
         F.when(reason.isNotNull(), F.concat(F.lit("record "), F.col("source_row_number").cast("string"),
                                             F.lit(": "), reason)).alias("reject_reason"))
-    table_cols = S.TABLE_COLUMNS[dataset] + S.PROVENANCE
+    table_cols = S.stored_columns(dataset)
     rows = stamped.filter(F.col("reject_reason").isNull()).select(*table_cols)
     rejects = stamped.filter(F.col("reject_reason").isNotNull()).select(
         "source_file", "source_row_number", "record_text", "reject_message", "reject_reason")

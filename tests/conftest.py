@@ -32,6 +32,11 @@ def spark():
     yield s
 
 
+def _scale(text):
+    """Written scale of a decimal literal, as the ingest records it."""
+    return None if text is None else max(0, -Decimal(text).as_tuple().exponent)
+
+
 def ts(value):
     return dt.datetime.fromisoformat(value) if value else None
 
@@ -67,13 +72,15 @@ class Builder:
         self.debits.append(dict(
             zoho_record_id=rid, transaction_id=rid if tx == "<id>" else tx, wallet_id=wallet_id, country=country,
             transaction_type=kind, status=status, settled_against=settled,
-            amount=Decimal(amount) if amount is not None else None, created_on=ts(created), source_file=source_file))
+            amount=Decimal(amount) if amount is not None else None, created_on=ts(created), source_file=source_file,
+            amount_scale=_scale(amount)))
 
     def swap(self, rid, *, tx="<id>", country="Kenya", status="SUCCESS", amount="120.10", customer="customer_ke",
              method="WALLET", created="2026-09-23 12:00:02", prefix="swap_", source_file="fixture"):
         self.swaps.append(dict(
             zoho_record_id=prefix + rid, transaction_id=rid if tx == "<id>" else tx, country=country,
             status=status, swap_amount=Decimal(amount) if amount is not None else None, customer_id=customer,
+            swap_amount_scale=_scale(amount),
             payment_method=method, created_on=ts(created), source_file=source_file))
 
     def ledgers(self, spark) -> Ledgers:

@@ -111,6 +111,9 @@ def test_reimport_is_idempotent_and_end_to_end_match(spark, folder):
                       for d in ("wallet_master", "wallet", "swap")))
     r = R.backend_reconciliation(led).first()
     assert (r.reconciliation_status, r.wallet_currency) == ("matched", "RWF")
+    from ledgermatch.operators import query as Q
+    page = Q.list_records(R.backend_reconciliation(led), Q.ReconciliationFilter(country="Rwanda"))
+    assert str(page["records"][0]["wallet_amount"]) == "2377.10"
     audit = M.import_batches(spark, root).orderBy("batch_id").collect()
     assert [a.rows_applied for a in audit] == [1, 1, 1, 0]
     # gold: refresh builds once per source revision
@@ -148,3 +151,9 @@ def test_latest_version_per_record_and_guarded_update(spark):
     merged = {r.zoho_record_id: (r.status, r._applied) for r in M.upsert(existing, incoming).collect()}
     # a: older incoming version -> kept; b: both versions NULL (equal) and raw differs -> replaced
     assert merged == {"a": ("y", False), "b": ("p", True)}
+
+
+def test_written_scale(spark):
+    df = spark.createDataFrame([(t,) for t in ("120.10", "7", ".5", "1.5e1", "15e-3", "-3.000", "+2.50")], "t string")
+    got = [r.s for r in df.select(I.written_scale(df.t).alias("s")).collect()]
+    assert got == [2, 0, 1, 0, 3, 3, 2]

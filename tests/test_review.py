@@ -68,8 +68,10 @@ def test_country_separation_and_exact_money(recon):
     for rid, currency in (("shared_ke", "KES"), ("shared_rw", "RWF")):
         assert rows[rid].reconciliation_status == "matched"
         assert rows[rid].wallet_currency == currency
-        # exact value; the stored scale is 6 (written-scale text is an open item)
         assert rows[rid].wallet_amount == Decimal("120.10")
+        # text keeps the written scale (stored DECIMAL(28,6) + scale 2)
+        detail = Q.apply_scales(Q.record_detail(recon, rid).first().asDict())
+        assert str(detail["wallet_amount"]) == "120.10" and "wallet_amount_scale" not in detail
 
 
 def test_swap_group_arrays_keep_null_and_sort(led_a, spark):
@@ -81,10 +83,9 @@ def test_swap_group_arrays_keep_null_and_sort(led_a, spark):
 
 
 def test_summary_matches_fixture_table(recon):
-    got = [(r.country, r.currency, r.status, r.deduction_count,
-            None if r.deduction_amount is None else str(r.deduction_amount.quantize(Decimal("0.01"))),
-            r.needs_review_count,
-            r.within_observed_span_count, r.after_cutoff_count) for r in Q.summary_groups(recon).collect()]
+    got = [(r["country"], r["currency"], r["status"], r["deduction_count"],
+            None if r["deduction_amount"] is None else str(r["deduction_amount"]), r["needs_review_count"],
+            r["within_observed_span_count"], r["after_cutoff_count"]) for r in Q.summary(recon)["groups"]]
     assert got == [
         ("Kenya", "KES", "ambiguous_transaction_id", 3, "360.30", 3, 0, 1),
         ("Kenya", "KES", "amount_mismatch", 1, "120.10", 1, 0, 0),
@@ -158,3 +159,13 @@ def test_live_point_lookup_equals_full_result(led_a, recon, rid):
 
 def test_live_point_lookup_of_excluded_record_is_empty(led_a):
     assert R.record_detail_live(led_a, "credit_excluded").count() == 0
+
+
+def test_review_export_text_keeps_written_scale(recon):
+    from ledgermatch.sinks import exports as E
+    rows = {r.wallet_record_id: r for r in E.review_candidates(recon).collect()}
+    assert rows["mismatch"].wallet_amount == "120.10" and rows["mismatch"].successful_swap_amount == "120.11"
+    assert rows["offer"].successful_payment_methods == '["OFFER_APPLIED"]'
+    assert rows["unmapped"].review_reasons == \
+        '["wallet_not_loaded", "customer_lookup_unavailable", "currency_unavailable"]'
+    assert "wallet_amount_scale" not in E.review_candidates(recon).columns
