@@ -425,9 +425,6 @@ def _ingested(spark, sf_dir, name: str, dataset: str) -> I.IngestResult:
     return I.ingest(spark, f"{base}/{name}/*.csv", dataset)[dataset]
 
 
-REGISTRY_RAW: dict[str, Query] = {}
-
-
 def register_raw(name: str):
     """Queries that need the session and folder themselves (ingest, merge)."""
     def deco(fn: Callable[[SparkSession, str], DataFrame]):

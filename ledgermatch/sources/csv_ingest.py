@@ -19,7 +19,6 @@ single task; parallelism comes from the number of files in the drop.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -302,7 +301,3 @@ def export_csv(df: DataFrame, dataset: str, path: str, overrides: dict[str, Colu
      .options(header="true", escape='"', quote='"', ignoreLeadingWhiteSpace="false",
               ignoreTrailingWhiteSpace="false", nullValue="", emptyValue='""')
      .csv(path))
-
-
-def local_files(folder: str, suffix: str = ".csv") -> list[str]:
-    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(suffix))
