@@ -37,27 +37,54 @@ def latest_per_record(rows: DataFrame, key: str = "zoho_record_id") -> DataFrame
     return rows.groupBy(key).agg(best.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def upsert(existing: DataFrame, newest: DataFrame, imported_at: Column | None = None,
-           key: str = "zoho_record_id") -> DataFrame:
-    """Merged table rows plus a boolean ``_applied`` per row."""
-    now = imported_at if imported_at is not None else F.current_timestamp()
-    cols = [c for c in existing.columns if c != key]
-    e = existing.select(key, *[F.col(c).alias(f"e_{c}") for c in cols], F.lit(True).alias("_e"))
-    n = newest.select(key, *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(True).alias("_n"))
-    j = e.join(n, key, "full_outer")
-    ver_e = F.coalesce(source_version("e_"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
-    ver_n = F.coalesce(source_version("n_"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+# Incoming rows (after dedup) up to this many are broadcast; the stored table
+# is then streamed through a broadcast join and never shuffled.
+BROADCAST_INCOMING_ROWS = 2_000_000
+
+
+def _versions(prefix: str) -> Column:
+    return F.coalesce(source_version(prefix), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def _decide(cols: list[str], key: str, now: Column, ts_type) -> tuple[Column, list[Column]]:
+    """Applied flag and the chosen columns for joined rows (e_* existing, n_* incoming)."""
     applied = F.col("_n").isNotNull() & (
         F.col("_e").isNull()
-        | ((ver_n >= ver_e) & ~F.col("e_raw_record").eqNullSafe(F.col("n_raw_record"))))
+        | ((_versions("n_") >= _versions("e_")) & ~F.col("e_raw_record").eqNullSafe(F.col("n_raw_record"))))
     out = [F.col(key)]
     for c in cols:
         if c == "imported_at":
-            out.append(F.when(applied, now.cast(existing.schema["imported_at"].dataType))
-                       .otherwise(F.col("e_imported_at")).alias(c))
+            out.append(F.when(applied, now.cast(ts_type)).otherwise(F.col("e_imported_at")).alias(c))
         else:
             out.append(F.when(applied, F.col(f"n_{c}")).otherwise(F.col(f"e_{c}")).alias(c))
-    return j.select(*out, applied.alias("_applied"))
+    return applied, out
+
+
+def upsert(existing: DataFrame, newest: DataFrame, imported_at: Column | None = None,
+           key: str = "zoho_record_id", max_broadcast_rows: int = BROADCAST_INCOMING_ROWS) -> DataFrame:
+    """Merged table rows plus a boolean ``_applied`` per row.
+
+    Small incoming side (counted, cached): existing LEFT JOIN broadcast(newest)
+    decides replaced rows while streaming the table once; new ids come from a
+    semi/anti join of bounded size. Above the bound: full outer join on the id."""
+    now = imported_at if imported_at is not None else F.current_timestamp()
+    cols = [c for c in existing.columns if c != key]
+    ts_type = existing.schema["imported_at"].dataType
+    e = existing.select(key, *[F.col(c).alias(f"e_{c}") for c in cols], F.lit(True).alias("_e"))
+    newest = newest.cache()
+    if newest.count() > max_broadcast_rows:
+        n = newest.select(key, *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(True).alias("_n"))
+        applied, out = _decide(cols, key, now, ts_type)
+        return e.join(n, key, "full_outer").select(*out, applied.alias("_applied"))
+    n = newest.select(key, *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(True).alias("_n"))
+    applied, out = _decide(cols, key, now, ts_type)
+    kept_or_replaced = e.join(F.broadcast(n), key, "left").select(*out, applied.alias("_applied"))
+    # ids already stored: at most |newest| rows, so the anti join below stays small
+    seen = existing.select(key).join(F.broadcast(newest.select(key)), key, "left_semi")
+    inserted = newest.join(F.broadcast(seen), key, "left_anti").select(
+        key, *[(now.cast(ts_type) if c == "imported_at" else F.col(c)).alias(c) for c in cols],
+        F.lit(True).alias("_applied"))
+    return kept_or_replaced.unionByName(inserted)
 
 
 def merge(existing: DataFrame, incoming: DataFrame, imported_at: Column | None = None) -> DataFrame:

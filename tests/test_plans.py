@@ -60,3 +60,18 @@ def test_page_is_a_take_ordered(led):
     from ledgermatch.operators import query as Q
     text = plan_text(Q.page_frame(R.backend_reconciliation(led), limit=10))
     assert "TakeOrderedAndProject" in text
+
+
+def test_upsert_streams_the_table_through_a_broadcast_join(led, spark):
+    from ledgermatch.operators import merge as M
+    from ledgermatch.sources import adapter
+
+    incoming = adapter.revisions(led.wallet_transactions)
+    small = M.merge(led.wallet_transactions, incoming)
+    text = plan_text(small)
+    assert "BroadcastHashJoin LeftOuter" in text and "FullOuter" not in text
+    big = M.upsert(led.wallet_transactions, M.latest_per_record(incoming), max_broadcast_rows=0)
+    assert "FullOuter" in plan_text(big)
+    cols = ["zoho_record_id", "status", "source_modified_at", "source_row_number", "raw_record", "_applied"]
+    assert small.select(*cols).exceptAll(big.select(*cols)).count() == 0
+    assert big.select(*cols).exceptAll(small.select(*cols)).count() == 0
