@@ -532,9 +532,10 @@ def _idempotent(led):
     incoming = adapter.revisions(led.wallet_transactions)
     first = M.merge(led.wallet_transactions, incoming)
     second = M.merge(first.drop("_applied"), incoming)
-    a = first.agg(F.count(F.lit(1)).alias("rows"), F.count_if("_applied").alias("first_applied"))
-    b = second.agg(F.count_if("_applied").alias("second_applied"))
-    return a.crossJoin(b)
+    both = first.select(F.lit(1).alias("r"), F.col("_applied").alias("a1"), F.lit(False).alias("a2")).unionByName(
+        second.select(F.lit(0).alias("r"), F.lit(False).alias("a1"), F.col("_applied").alias("a2")))
+    return both.agg(F.sum("r").cast("long").alias("rows"), F.count_if("a1").alias("first_applied"),
+                    F.count_if("a2").alias("second_applied"))
 
 
 _LOADED: dict[tuple[int, str], str] = {}
@@ -660,6 +661,11 @@ def _gold_summary(spark, sf_dir):
     return Q.summary_groups(GOLD.read(spark, _gold_root(spark, sf_dir), "reconciliation"))
 
 
+@register_raw("gold_tracking_summary")
+def _gold_tracking(spark, sf_dir):
+    return G.tracking_summary(None, _filters(), gaps=GOLD.gap_tables(spark, _gold_root(spark, sf_dir)))
+
+
 @register_raw("gold_equals_live")
 def _gold_live(spark, sf_dir):
     gold = comparable(GOLD.read(spark, _gold_root(spark, sf_dir), "reconciliation"))
