@@ -301,3 +301,34 @@ def export_csv(df: DataFrame, dataset: str, path: str, overrides: dict[str, Colu
      .options(header="true", escape='"', quote='"', ignoreLeadingWhiteSpace="false",
               ignoreTrailingWhiteSpace="false", nullValue="", emptyValue='""')
      .csv(path))
+
+
+DATASET_MODULES = {"wallet_master": "Wallets", "wallet": "Wallet transactions", "swap": "Swapping transactions"}
+
+
+def inspect(spark: SparkSession, paths: str | list[str], countries: tuple[str, ...] | None = C.COUNTRIES) -> dict:
+    """I11 as a report: validate one export (header audit, typed read, country
+    domain, non-empty) and return the preview dict. Raises ``ValueError`` for
+    the first rejected record, the first record outside the country domain,
+    or a file without data records. Only aggregates reach the driver."""
+    results = ingest(spark, paths)
+    if len(results) != 1:
+        raise ValueError("One export at a time.")
+    (dataset, res), = results.items()
+    first_reject = res.rejects.orderBy("source_file", "source_row_number").first()
+    if first_reject is not None:
+        raise ValueError(f"{first_reject.source_file}: {first_reject.reject_reason}")
+    counts, by_country, by_status = validate_preview(res.rows, dataset, countries)
+    c = counts.first()
+    if c.first_bad_country_record is not None:
+        raise ValueError(f"Record {c.first_bad_country_record}: Country must be one of "
+                         f"{', '.join(countries)}. Check the export filter.")
+    if c.rows == 0:
+        raise ValueError("This CSV has headers but no data records.")
+    return {"dataset": dataset, "module": DATASET_MODULES[dataset], "rows": c.rows,
+            "distinct_record_ids": c.distinct_record_ids, "duplicate_record_id_rows": c.duplicate_record_id_rows,
+            "countries": {r.country: r.rows for r in by_country.collect()},
+            "statuses": {r.status: r.rows for r in by_status.collect()},
+            "min_created_on": c.min_created_on.isoformat() if c.min_created_on else None,
+            "max_created_on": c.max_created_on.isoformat() if c.max_created_on else None,
+            "export_cap_warning": c.export_cap_warning}

@@ -157,3 +157,19 @@ def test_written_scale(spark):
     df = spark.createDataFrame([(t,) for t in ("120.10", "7", ".5", "1.5e1", "15e-3", "-3.000", "+2.50")], "t string")
     got = [r.s for r in df.select(I.written_scale(df.t).alias("s")).collect()]
     assert got == [2, 0, 1, 0, 3, 3, 2]
+
+
+def test_inspect_preview_and_its_errors(spark, folder):
+    good = write_csv(folder, "ok.csv", "swap", [SWAP, dict(SWAP, **{"Record Id": "s2", "Status": ""})])
+    p = I.inspect(spark, good)
+    assert (p["dataset"], p["module"], p["rows"], p["countries"]) == ("swap", "Swapping transactions", 2,
+                                                                      {"Rwanda": 2})
+    assert p["statuses"] == {"SUCCESS": 1, "Unspecified": 1} and p["export_cap_warning"] is False
+    other = tempfile.mkdtemp(prefix="run-ingest-", dir="/tmp")
+    bad = write_csv(other, "ug.csv", "swap", [SWAP, dict(SWAP, **{"Record Id": "s2", "Country": "Uganda"})])
+    with pytest.raises(ValueError, match="Record 2: Country must be"):
+        I.inspect(spark, bad, ("Kenya", "Rwanda"))
+    third = tempfile.mkdtemp(prefix="run-ingest-", dir="/tmp")
+    empty = write_csv(third, "empty.csv", "swap", [])
+    with pytest.raises(ValueError, match="no data records"):
+        I.inspect(spark, empty)
