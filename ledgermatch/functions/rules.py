@@ -36,9 +36,13 @@ def reconciliation_status(transaction_id: Column, wallet_count: Column, matched_
     )
 
 
-def payment_method_needs_review(successful_count: Column, methods: Column) -> Column:
-    """With exactly one success, methods IS DISTINCT FROM ['WALLET']."""
-    return F.when(successful_count == 1, ~methods.eqNullSafe(F.array(F.lit(C.WALLET_METHOD)))).otherwise(F.lit(False))
+def payment_method_needs_review(successful_count: Column, wallet_successes: Column) -> Column:
+    """With exactly one success, its distinct methods IS DISTINCT FROM ['WALLET'].
+
+    With one success that array is ``[method]``, so it equals ``['WALLET']`` exactly
+    when that success was paid by WALLET: the rule needs only the count of
+    successful WALLET swaps, never the array of methods."""
+    return F.when(successful_count == 1, wallet_successes != 1).otherwise(F.lit(False))
 
 
 def customer_mapping_status(wallet_found: Column, crm_id: Column, business_id: Column) -> Column:
@@ -48,11 +52,15 @@ def customer_mapping_status(wallet_found: Column, crm_id: Column, business_id: C
             .otherwise(C.MAPPED))
 
 
-def customer_lookup_check(crm_id: Column, swap_customer_ids: Column) -> Column:
-    """Every swap customer id equals the wallet's customer id."""
+def customer_lookup_check(crm_id: Column, min_swap_customer_id: Column, max_swap_customer_id: Column) -> Column:
+    """Every non-NULL swap customer id equals the wallet's customer id.
+
+    The distinct ids are a subset of ``{crm_id}`` exactly when their minimum and
+    maximum both equal it; no ids at all leaves both NULL. Two fixed-size
+    aggregates replace the per-key id array, so a hot key never builds one."""
     return (F.when(crm_id.isNull(), C.WALLET_LOOKUP_UNAVAILABLE)
-            .when(swap_customer_ids.isNull(), C.SWAP_LOOKUP_UNAVAILABLE)
-            .when(F.size(F.array_except(swap_customer_ids, F.array(crm_id))) == 0, C.LOOKUP_AGREES)
+            .when(min_swap_customer_id.isNull(), C.SWAP_LOOKUP_UNAVAILABLE)
+            .when((min_swap_customer_id == crm_id) & (max_swap_customer_id == crm_id), C.LOOKUP_AGREES)
             .otherwise(C.LOOKUP_DIFFERS))
 
 

@@ -31,6 +31,8 @@ from ..functions import arrays, rules
 from ..plans.joins import join_small
 
 KEYS = ["_kc", "_cn", "_kt", "_tn"]
+# Fixed-size per-key aggregates the R9 rule reads instead of the id array.
+LOOKUP_BOUNDS = ["_min_customer_id", "_max_customer_id"]
 
 
 @dataclass(frozen=True)
@@ -107,14 +109,25 @@ def key_statistics(debits: DataFrame, swap_transactions: DataFrame) -> DataFrame
              scale_of(swap_transactions, "swap_amount").alias("swap_amount_scale"), "created_on",
              "swap_reference", "customer_id", "payment_method")
     is_swap = F.col("_swap")
+    ok = F.col("status") == C.SWAP_SUCCESS
     return d.unionByName(s).groupBy(*KEYS).agg(
         F.count_if(~is_swap).alias("wallet_count"),
-        *_swap_aggs(is_swap, F.col("status") == C.SWAP_SUCCESS),
+        *_swap_aggs(is_swap, ok),
+        # bounded inputs of R6 and R9 (the arrays above are output only, and
+        # Catalyst drops them from every plan that does not return them)
+        F.count_if(is_swap & ok & (F.col("payment_method") == C.WALLET_METHOD)).alias("_wallet_successes"),
+        F.min(F.when(is_swap, F.col("customer_id"))).alias("_min_customer_id"),
+        F.max(F.when(is_swap, F.col("customer_id"))).alias("_max_customer_id"),
     )
 
 
 def wallet_swap_review(led: Ledgers) -> DataFrame:
     """One row per eligible debit with its swap group and status."""
+    return _review_core(led).drop(*LOOKUP_BOUNDS)
+
+
+def _review_core(led: Ledgers) -> DataFrame:
+    """``wallet_swap_review`` plus the per-key customer id bounds R9 needs."""
     debits = eligible_debits(led.wallet_transactions).select(
         "zoho_record_id", "transaction_id", "reference", "wallet_id", "wallet_label", "country",
         "amount", "created_on", "source_file", "imported_at",
@@ -137,12 +150,13 @@ def wallet_swap_review(led: Ledgers) -> DataFrame:
                                     F.when(has_group, F.col("successful_swap_count")),
                                     F.col("amount"), F.col("successful_swap_amount"))
         .alias("reconciliation_status"),
-        rules.payment_method_needs_review(F.col("successful_swap_count"), F.col("successful_payment_methods"))
+        rules.payment_method_needs_review(F.col("successful_swap_count"), F.col("_wallet_successes"))
         .alias("payment_method_needs_review"),
         F.col("source_file").alias("wallet_source_file"),
         F.col("imported_at").alias("wallet_imported_at"),
         F.col("_amount_scale").alias("wallet_amount_scale"),
         "successful_swap_amount_scale",
+        *LOOKUP_BOUNDS,
     )
 
 
@@ -160,17 +174,20 @@ def wallet_mapping(wallets: DataFrame) -> DataFrame:
 
 def customer_review(led: Ledgers, review: DataFrame | None = None) -> DataFrame:
     """Wallet snapshot mapping on wallet id and country."""
-    r = review if review is not None else wallet_swap_review(led)
+    r = review if review is not None else _review_core(led)
+    if set(LOOKUP_BOUNDS) <= set(r.columns):
+        lo, hi = F.col(LOOKUP_BOUNDS[0]), F.col(LOOKUP_BOUNDS[1])
+    else:  # a review without the bounds: take them from its id arrays
+        lo, hi = F.array_min("customer_ids"), F.array_max("customer_ids")
     m = wallet_mapping(led.wallets)
     j = r.join(m, (r.wallet_id == m._m_id) & (r.country == m._m_country), "left")
     return j.select(
-        *r.columns,
+        *[c for c in r.columns if c not in LOOKUP_BOUNDS],
         "wallet_code", "wallet_customer_id", "wallet_customer_reference", "wallet_customer_name",
         "wallet_currency", "wallet_mapping_modified_at",
         rules.customer_mapping_status(F.col("_m_id").isNotNull(), F.col("wallet_customer_id"),
                                       F.col("wallet_customer_reference")).alias("customer_mapping_status"),
-        rules.customer_lookup_check(F.col("wallet_customer_id"), F.col("customer_ids"))
-        .alias("swap_customer_lookup_check"),
+        rules.customer_lookup_check(F.col("wallet_customer_id"), lo, hi).alias("swap_customer_lookup_check"),
     )
 
 

@@ -75,3 +75,13 @@ def test_upsert_streams_the_table_through_a_broadcast_join(led, spark):
     cols = ["zoho_record_id", "status", "source_modified_at", "source_row_number", "raw_record", "_applied"]
     assert small.select(*cols).exceptAll(big.select(*cols)).count() == 0
     assert big.select(*cols).exceptAll(small.select(*cols)).count() == 0
+
+
+def test_summaries_build_no_per_key_arrays(led):
+    """R6 and R9 read fixed-size aggregates; the per-key arrays are output
+    columns only, pruned from every plan that does not return them."""
+    from ledgermatch.operators import query as Q
+    for df in (Q.summary_groups(R.backend_reconciliation(led)), catalog.REGISTRY["missing_report_stats"](
+            led.wallets.sparkSession, SF)):
+        text = plan_text(df)
+        assert "collect_set" not in text, text

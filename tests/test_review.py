@@ -169,3 +169,28 @@ def test_review_export_text_keeps_written_scale(recon):
     assert rows["unmapped"].review_reasons == \
         '["wallet_not_loaded", "customer_lookup_unavailable", "currency_unavailable"]'
     assert "wallet_amount_scale" not in E.review_candidates(recon).columns
+
+
+def _array_form(row):
+    """R6 and R9 as the reference states them, over the per-key arrays."""
+    methods, ids, crm = row.successful_payment_methods, row.customer_ids, row.wallet_customer_id
+    pay = row.successful_swap_count == 1 and methods != ["WALLET"]
+    if crm is None:
+        lookup = "wallet_customer_lookup_unavailable"
+    elif ids is None:
+        lookup = "swap_customer_lookup_unavailable"
+    else:
+        lookup = "agrees" if set(ids) <= {crm} else "differs"
+    return pay, lookup
+
+
+@pytest.mark.parametrize("which", ["a", "c", "sf0.001"])
+def test_bounded_rules_equal_array_rules(which, led_a, led_ac, spark):
+    from ledgermatch import catalog
+    led = {"a": led_a, "c": led_ac}.get(which) or catalog.ledgers(spark, "/root/testdata/sf0.001")
+    rows = R.backend_reconciliation(led).select(
+        "wallet_record_id", "successful_swap_count", "successful_payment_methods", "customer_ids",
+        "wallet_customer_id", "payment_method_needs_review", "swap_customer_lookup_check").collect()
+    assert rows
+    for r in rows:
+        assert (r.payment_method_needs_review, r.swap_customer_lookup_check) == _array_form(r), r
