@@ -29,9 +29,13 @@ from ..sources import csv_ingest
 FAILED = "failed_imports"
 
 
-def _already_imported(spark: SparkSession, root: str) -> set[str]:
-    """Digests of committed imports (the audit log has one row per import)."""
-    return {r.sha256 for r in M.import_batches(spark, root).select("sha256").collect()}
+def _already_imported(spark: SparkSession, root: str, digests: set[str]) -> set[str]:
+    """Which of ``digests`` (one batch, at most ``max_files``) the audit log
+    already holds; the filter reaches the scan, only the hits are collected."""
+    if not digests:
+        return set()
+    log = M.import_batches(spark, root)
+    return {r.sha256 for r in log.filter(log.sha256.isin(sorted(digests))).select("sha256").distinct().collect()}
 
 
 def import_batch(spark: SparkSession, paths: list[str], root: str, gold_root: str | None = None) -> list[dict]:
@@ -40,7 +44,7 @@ def import_batch(spark: SparkSession, paths: list[str], root: str, gold_root: st
         return []
     audit = {r.file_path: r.dataset for r in csv_ingest.header_audit(spark, paths).collect()}
     digests = {r.source_file: r.sha256 for r in csv_ingest.checksums(spark, paths).collect()}
-    done = _already_imported(spark, root)
+    done = _already_imported(spark, root, {d for d in digests.values() if d})
     results, failures = [], []
     for ds in S.LOAD_ORDER:
         for path in sorted(p for p, d in audit.items() if d == ds):
