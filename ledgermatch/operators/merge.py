@@ -17,8 +17,9 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..sinks import store
@@ -37,9 +38,22 @@ def latest_per_record(rows: DataFrame, key: str = "zoho_record_id") -> DataFrame
     return rows.groupBy(key).agg(best.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-# Incoming rows (after dedup) up to this many are broadcast; the stored table
-# is then streamed through a broadcast join and never shuffled.
-BROADCAST_INCOMING_ROWS = 2_000_000
+# Incoming rows (after dedup) are broadcast while their measured payload stays
+# below this; the stored table is then streamed through a broadcast join and
+# never shuffled. Above it one full outer join on the id runs instead.
+BROADCAST_INCOMING_BYTES = 64 * 1024 * 1024
+
+
+def payload_bytes(df: DataFrame) -> Column:
+    """Aggregate: bytes of the rows' values -- text and binary fields by their
+    length, every other field counted as 16 bytes."""
+    sizes = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+             if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(16)
+             for f in df.schema.fields]
+    total = sizes[0]
+    for size in sizes[1:]:
+        total = total + size
+    return F.sum(total.cast("long"))
 
 
 def _versions(prefix: str) -> Column:
@@ -61,10 +75,11 @@ def _decide(cols: list[str], key: str, now: Column, ts_type) -> tuple[Column, li
 
 
 def upsert(existing: DataFrame, newest: DataFrame, imported_at: Column | None = None,
-           key: str = "zoho_record_id", max_broadcast_rows: int = BROADCAST_INCOMING_ROWS) -> DataFrame:
+           key: str = "zoho_record_id", max_broadcast_bytes: int = BROADCAST_INCOMING_BYTES) -> DataFrame:
     """Merged table rows plus a boolean ``_applied`` per row.
 
-    Small incoming side (counted, cached): existing LEFT JOIN broadcast(newest)
+    Small incoming side (cached, its payload measured in the job that fills the
+    cache): existing LEFT JOIN broadcast(newest)
     decides replaced rows while streaming the table once; new ids come from a
     semi/anti join of bounded size. Above the bound: full outer join on the id."""
     now = imported_at if imported_at is not None else F.current_timestamp()
@@ -72,7 +87,7 @@ def upsert(existing: DataFrame, newest: DataFrame, imported_at: Column | None =
     ts_type = existing.schema["imported_at"].dataType
     e = existing.select(key, *[F.col(c).alias(f"e_{c}") for c in cols], F.lit(True).alias("_e"))
     newest = newest.cache()
-    if newest.count() > max_broadcast_rows:
+    if (newest.agg(payload_bytes(newest).alias("b")).first().b or 0) > max_broadcast_bytes:
         n = newest.select(key, *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(True).alias("_n"))
         applied, out = _decide(cols, key, now, ts_type)
         return e.join(n, key, "full_outer").select(*out, applied.alias("_applied"))
@@ -121,11 +136,12 @@ def import_file(spark: SparkSession, root: str, path: str, dataset: str | None =
     source_file = ";".join(r.source_file for r in sums)
     sha256 = sums[0].sha256 if len(sums) == 1 else \
         hashlib.sha256("".join(r.sha256 for r in sums).encode()).hexdigest()
+    # the batch id is assigned at commit, like a serial: one more than the
+    # largest committed id (imports are one writer at a time, see store.commit)
+    last = import_batches(spark, root).agg(F.max("batch_id").alias("last")).first().last
     batch = spark.createDataFrame(
-        [(ds, source_file, sha256, summary.rows_read, stats.applied, summary.lo, summary.hi,
-          dt.datetime.now(dt.timezone.utc))],
-        "dataset string, source_file string, sha256 string, rows_read long, rows_applied long, "
-        "min_created_on timestamp_ntz, max_created_on timestamp_ntz, imported_at timestamp")
+        [((last or 0) + 1, ds, source_file, sha256, summary.rows_read, stats.applied, summary.lo, summary.hi,
+          dt.datetime.now(dt.timezone.utc))], AUDIT_SCHEMA)
     version = store.commit(spark, root, table, {"data": merged.drop("_applied"), "batch": batch},
                            note=source_file, expected_version=current)
     staged.unpersist()
@@ -136,23 +152,25 @@ def import_file(spark: SparkSession, root: str, path: str, dataset: str | None =
             "max_created_on": summary.hi.isoformat() if summary.hi else None}
 
 
+AUDIT_SCHEMA = ("batch_id long, dataset string, source_file string, sha256 string, rows_read long, "
+                "rows_applied long, min_created_on timestamp_ntz, max_created_on timestamp_ntz, "
+                "imported_at timestamp")
+
+
 def import_batches(spark: SparkSession, root: str) -> DataFrame:
-    """The audit log: one row per committed import, ``batch_id`` in commit order."""
+    """The audit log: one row per committed import, ``batch_id`` in commit order
+    (stored with the row when it was committed; no numbering pass over the log)."""
     parts = []
     for table in S.TABLES.values():
         h = store.history(spark, root, table, "batch")
         if h is not None:
             parts.append(h)
     if not parts:
-        return spark.createDataFrame(
-            [], "batch_id long, dataset string, source_file string, sha256 string, rows_read long, "
-                "rows_applied long, min_created_on timestamp_ntz, max_created_on timestamp_ntz, imported_at timestamp")
+        return spark.createDataFrame([], AUDIT_SCHEMA)
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    # batch ids follow commit time (one ordered window over the audit log: one row per import)
-    return u.select(F.row_number().over(Window.orderBy("imported_at", "dataset", "_version")).cast("long")
-                    .alias("batch_id"), *[c for c in u.columns if c != "_version"])
+    return u.drop("_version")
 
 
 def recent_imports(spark: SparkSession, root: str, n: int = 10) -> DataFrame:

@@ -70,7 +70,7 @@ def test_upsert_streams_the_table_through_a_broadcast_join(led, spark):
     small = M.merge(led.wallet_transactions, incoming)
     text = plan_text(small)
     assert "BroadcastHashJoin LeftOuter" in text and "FullOuter" not in text
-    big = M.upsert(led.wallet_transactions, M.latest_per_record(incoming), max_broadcast_rows=0)
+    big = M.upsert(led.wallet_transactions, M.latest_per_record(incoming), max_broadcast_bytes=0)
     assert "FullOuter" in plan_text(big)
     cols = ["zoho_record_id", "status", "source_modified_at", "source_row_number", "raw_record", "_applied"]
     assert small.select(*cols).exceptAll(big.select(*cols)).count() == 0
