@@ -17,7 +17,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,9 +126,11 @@ def import_file(spark: SparkSession, root: str, path: str, dataset: str | None =
     current = store.latest_version(spark, root, table)
     existing = store.read(spark, root, table, S.table_schema(ds), version=current) if current else \
         spark.createDataFrame([], S.table_schema(ds))
-    merged = merge(existing, staged.drop("imported_at").withColumn("imported_at", F.current_timestamp()))
-    merged = merged.cache()
-    stats = merged.agg(F.count_if("_applied").alias("applied")).first()
+    # the applied rows are counted by the write itself (no cached copy of the
+    # table, no second pass over it)
+    applied = Observation("applied")
+    merged = merge(existing, staged.drop("imported_at").withColumn("imported_at", F.current_timestamp())) \
+        .observe(applied, F.count_if("_applied").alias("rows"))
     summary = staged.agg(F.count(F.lit(1)).alias("rows_read"), F.min("created_on").alias("lo"),
                          F.max("created_on").alias("hi")).first()
     # one row per file of the unit; several files get one digest over their digests
@@ -139,15 +141,17 @@ def import_file(spark: SparkSession, root: str, path: str, dataset: str | None =
     # the batch id is assigned at commit, like a serial: one more than the
     # largest committed id (imports are one writer at a time, see store.commit)
     last = import_batches(spark, root).agg(F.max("batch_id").alias("last")).first().last
-    batch = spark.createDataFrame(
-        [((last or 0) + 1, ds, source_file, sha256, summary.rows_read, stats.applied, summary.lo, summary.hi,
-          dt.datetime.now(dt.timezone.utc))], AUDIT_SCHEMA)
+
+    def batch() -> DataFrame:  # after the data part is written
+        return spark.createDataFrame(
+            [((last or 0) + 1, ds, source_file, sha256, summary.rows_read, applied.get["rows"], summary.lo,
+              summary.hi, dt.datetime.now(dt.timezone.utc))], AUDIT_SCHEMA)
+
     version = store.commit(spark, root, table, {"data": merged.drop("_applied"), "batch": batch},
                            note=source_file, expected_version=current)
     staged.unpersist()
-    merged.unpersist()
     return {"dataset": ds, "source_file": source_file, "sha256": sha256, "rows_read": summary.rows_read,
-            "rows_applied": stats.applied, "version": version,
+            "rows_applied": applied.get["rows"], "version": version,
             "min_created_on": summary.lo.isoformat() if summary.lo else None,
             "max_created_on": summary.hi.isoformat() if summary.hi else None}
 

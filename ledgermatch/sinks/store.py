@@ -49,7 +49,9 @@ def read(spark: SparkSession, root: str, table: str, schema: T.StructType | None
 
 def commit(spark: SparkSession, root: str, table: str, parts: dict[str, DataFrame], note: str = "",
            expected_version: int | None = -1) -> int:
-    """Write ``parts`` as the next version, then its commit marker.
+    """Write ``parts`` (DataFrames, or functions returning one, called in order
+    after the parts before them are written) as the next version, then its
+    commit marker.
 
     ``expected_version`` (when not -1) is the version the caller read; a
     different latest version means a concurrent writer -> ValueError."""
@@ -59,6 +61,8 @@ def commit(spark: SparkSession, root: str, table: str, parts: dict[str, DataFram
     version = (current or 0) + 1
     base = _vdir(root, table, version)
     for name, df in parts.items():
+        if callable(df):  # a part built from what the writes before it measured
+            df = df()
         df.write.mode("errorifexists").parquet(f"{base}/{name}")
     spark.createDataFrame([(version, note)], "version long, note string").coalesce(1) \
         .write.mode("errorifexists").parquet(f"{base}/commit")
