@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,17 +108,18 @@ def review_candidates(recon: DataFrame, filters: Q.ReconciliationFilter | None =
     return as_text(r.select(*REVIEW_EXPORT_FIELDS, *scales)).orderBy("wallet_record_id")
 
 
-def _publish(spark: SparkSession, root: str, report: str, parts: dict[str, DataFrame], summary: dict) -> int:
-    rows = {name: df for name, df in parts.items()}
-    meta = spark.createDataFrame([(json.dumps(summary, ensure_ascii=False, default=str),)], "summary string")
-    rows["summary"] = meta
+def _publish(spark: SparkSession, root: str, report: str, parts: dict[str, DataFrame],
+             summary: dict | Callable[[], dict]) -> int:
+    """Write the parts, then the summary (a dict, or a function called after
+    the parts are written -- it may refuse to publish by raising), then the
+    commit marker that makes the report visible."""
     version = store.latest_version(spark, root, report)
     base = f"{root}/{report}/v={(version or 0) + 1:08d}"
-    for name, df in rows.items():
-        if name == "summary":
-            df.coalesce(1).write.mode("errorifexists").text(f"{base}/{name}")
-        else:
-            df.write.mode("errorifexists").options(**CSV_WRITE).csv(f"{base}/{name}")
+    for name, df in parts.items():
+        df.write.mode("errorifexists").options(**CSV_WRITE).csv(f"{base}/{name}")
+    summary = summary() if callable(summary) else summary
+    spark.createDataFrame([(json.dumps(summary, ensure_ascii=False, default=str),)], "summary string") \
+        .coalesce(1).write.mode("errorifexists").text(f"{base}/summary")
     spark.createDataFrame([((version or 0) + 1, report)], "version long, note string").coalesce(1) \
         .write.mode("errorifexists").parquet(f"{base}/commit")
     return (version or 0) + 1
@@ -129,15 +131,21 @@ def write_review_report(spark: SparkSession, recon: DataFrame, root: str,
     the candidate count equals the summary's needs-review count."""
     filters = filters or Q.ReconciliationFilter()
     summary = Q.summary(recon, filters)
-    candidates = review_candidates(recon, filters).cache()
-    count = candidates.count()
-    if count != summary["needs_review_count"]:
-        candidates.unpersist()
-        raise RuntimeError("Candidate export count does not agree with the summary.")
-    summary.update(generated_at_utc=dt.datetime.now(dt.timezone.utc).isoformat(), candidate_count=count,
-                   note=REVIEW_NOTE)
-    summary["version"] = _publish(spark, root, "reconciliation_report", {"review_candidates": candidates}, summary)
-    candidates.unpersist()
+    # the candidates are counted by their own write; the check runs before
+    # the commit marker, so a disagreeing export is never published
+    written = Observation("candidates")
+    candidates = review_candidates(recon, filters).observe(written, F.count(F.lit(1)).alias("rows"))
+
+    def checked_summary() -> dict:
+        count = written.get["rows"]
+        if count != summary["needs_review_count"]:
+            raise RuntimeError("Candidate export count does not agree with the summary.")
+        summary.update(generated_at_utc=dt.datetime.now(dt.timezone.utc).isoformat(), candidate_count=count,
+                       note=REVIEW_NOTE)
+        return summary
+
+    summary["version"] = _publish(spark, root, "reconciliation_report", {"review_candidates": candidates},
+                                  checked_summary)
     return summary
 
 

@@ -194,3 +194,22 @@ def test_bounded_rules_equal_array_rules(which, led_a, led_ac, spark):
     assert rows
     for r in rows:
         assert (r.payment_method_needs_review, r.swap_customer_lookup_check) == _array_form(r), r
+
+
+def test_review_report_publishes_only_when_counts_agree(led_a, spark, monkeypatch):
+    import tempfile
+
+    from ledgermatch.sinks import exports as E
+    from ledgermatch.sinks import store
+
+    root = tempfile.mkdtemp(prefix="run-report-", dir="/tmp")
+    recon = R.backend_reconciliation(led_a)
+    s = E.write_review_report(spark, recon, root)
+    assert s["candidate_count"] == s["needs_review_count"] == recon.filter("needs_review").count()
+    assert store.latest_version(spark, root, "reconciliation_report") == 1
+
+    real = Q.summary
+    monkeypatch.setattr(Q, "summary", lambda *a, **k: dict(real(*a, **k), needs_review_count=-1))
+    with pytest.raises(RuntimeError, match="does not agree"):
+        E.write_review_report(spark, recon, root)
+    assert store.latest_version(spark, root, "reconciliation_report") == 1  # nothing published
