@@ -25,12 +25,17 @@ def _vdir(root: str, table: str, version: int) -> str:
     return f"{root}/{table}/v={version:08d}"
 
 
-def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Commit rows of every visible version of ``table``."""
+def _commits(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     try:
         return spark.read.parquet(f"{root}/{table}/v=*/commit")
-    except AnalysisException:
-        return spark.createDataFrame([], "version long, note string")
+    except AnalysisException:  # no version committed yet
+        return None
+
+
+def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Commit rows of every visible version of ``table``."""
+    c = _commits(spark, root, table)
+    return c if c is not None else spark.createDataFrame([], "version long, note string")
 
 
 def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
@@ -71,10 +76,12 @@ def commit(spark: SparkSession, root: str, table: str, parts: dict[str, DataFram
 
 def history(spark: SparkSession, root: str, table: str, part: str) -> DataFrame | None:
     """``part`` rows of all committed versions, tagged with their version."""
+    commits = _commits(spark, root, table)
+    if commits is None:
+        return None
     try:
         rows = spark.read.parquet(f"{root}/{table}/v=*/{part}").select(
             "*", F.regexp_extract(F.col("_metadata.file_path"), r"/v=(\d+)/", 1).cast("long").alias("_version"))
     except AnalysisException:
         return None
-    return rows.join(F.broadcast(committed(spark, root, table).select(F.col("version").alias("_version"))),
-                     "_version", "left_semi")
+    return rows.join(F.broadcast(commits.select(F.col("version").alias("_version"))), "_version", "left_semi")
