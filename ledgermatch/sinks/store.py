@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.joins import join_small
+
 
 def _vdir(root: str, table: str, version: int) -> str:
     return f"{root}/{table}/v={version:08d}"
@@ -84,4 +86,5 @@ def history(spark: SparkSession, root: str, table: str, part: str) -> DataFrame
             "*", F.regexp_extract(F.col("_metadata.file_path"), r"/v=(\d+)/", 1).cast("long").alias("_version"))
     except AnalysisException:
         return None
-    return rows.join(F.broadcast(commits.select(F.col("version").alias("_version"))), "_version", "left_semi")
+    # one row per committed version, counted before it is broadcast
+    return join_small(rows, commits.select(F.col("version").alias("_version")), "_version", "left_semi")
