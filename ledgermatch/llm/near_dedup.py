@@ -9,12 +9,14 @@ from the threshold, so that a pair exactly at it is missed with probability ``mi
 Candidates are confirmed on full sets, without pairing everything in a bucket:
 
 * documents with equal sets are one class, compared once;
-* in each bucket one pivot meets the members of other components, verified links are
-  contracted to components, and the next pivot is taken, until the pairs left between
-  different components are no more than a few per bucket row; those are then all verified.
-
-So no link between candidates is lost and a group of thousands of near copies costs a few
-verifications each. Components come from repeated contraction of the verified links (hook to the
+* one pivot of each bucket (chosen by hash, so that a group's buckets test different ones)
+  meets the bucket's members, and verified links are contracted to components;
+* what is left are pairs between components that share a bucket. Two sets at the threshold
+  have a shingle in common among their rarest few, so only pairs that meet in one of those
+  (within the bounds that their sizes set) are verified; the others cannot be links.
+
+So no link between candidates is lost, and a group of thousands of near copies costs a few
+dozen verifications each. Components come from repeated contraction of the verified links (hook to the
 least neighbour, jump pointers, relabel), written to the shared folder each time.
 
 Defined cases: NULL counts as empty; texts without words have empty sets, are linked with
@@ -31,17 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermatch.llm.common import carry, cut, pick, ship, split_join, with_row_id
 
-#: Pairs between components left to verify at once, per bucket row; above, another pivot round runs.
-FEW_PAIRS = 2
 #: Ids of candidates are broadcast up to so many (16 bytes each), else joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Component labels are broadcast up to so many nodes (16 bytes each), else joined by shuffle.
+BROADCAST_NODES = 200_000
 #: Columns of the signature matrix worked on at a time.
-BLOCK = 2048
+BLOCK = 256
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -72,11 +74,12 @@ def signature(shingles: np.ndarray, size: int) -> np.ndarray:
         least = np.full(size, 0xFFFFFFFF, np.uint32)
         for i in range(0, len(first), BLOCK):
             x = first[None, i:i + BLOCK] - shift  # second permutation, shifted round the circle
-            x ^= x >> np.uint32(16)
+            half = x >> np.uint32(16)
+            x ^= half
             x *= np.uint32(0x85EBCA6B)
-            x ^= x >> np.uint32(13)
+            np.right_shift(x, np.uint32(13), out=half)
+            x ^= half
             x *= np.uint32(0xC2B2AE35)
-            x ^= x >> np.uint32(16)
             np.minimum(least, x.min(axis=1), out=least)
     return least
 
@@ -132,26 +135,31 @@ def full_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row_id", "text").mapInArrow(work, "node bigint, set array<bigint>")
 
 
+def _meet(left: DataFrame, right: DataFrame, key: str, small: bool, how: str = "inner") -> DataFrame:
+    return left.join(F.broadcast(right), key, how) if small else split_join(left, right, [key], how)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) -> (node, root) for all nodes with a link; root is one node of the component."""
-    edges = cut(links.select("a", "b"), "links")
-    levels: list[DataFrame] = []
-    while not edges.isEmpty():
+    """Written (a, b) -> (node, root) for all nodes with a link; root is one node of the component."""
+    edges, levels = links.select("a", "b"), []
+    while True:
         both = edges.union(edges.select("b", "a"))
         parents = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "hook")
-        while True:  # jump pointers until every parent is a root
-            up = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = cut(split_join(parents, up, ["root"]), "jump")
-            moving = not jumped.where("next <> root").isEmpty()
-            parents = jumped.select("node", F.col("next").alias("root"))
-            if not moving:
+        small = parents.count() <= BROADCAST_NODES
+        while True:  # jump pointers, twice at a time, until every parent is a root
+            up = parents.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            once = _meet(parents, up, "root", small).select("node", F.col("up").alias("root"))
+            twice = _meet(once, up, "root", small).select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
+            twice = cut(twice, "jump")
+            parents = twice.select("node", "root")
+            if twice.where("moved").isEmpty():
                 break
         levels.append(parents)
-        ends = split_join(edges, parents.select(F.col("node").alias("a"), F.col("root").alias("ra")), ["a"])
-        ends = split_join(ends, parents.select(F.col("node").alias("b"), F.col("root").alias("rb")), ["b"])
+        ends = _meet(edges, parents.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", small)
+        ends = _meet(ends, parents.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", small)
         edges = cut(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
-    if not levels:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+        if edges.isEmpty():
+            break
     out = levels[0]
     for later in levels[1:]:
         higher = later.select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -164,6 +172,10 @@ def _compatible(percent: int):
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     met = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
@@ -173,48 +185,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * common >= percent * union).select("a", "b")
 
 
-def _links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) over classes (node, n, bands): the components of exact links between candidates."""
+def _open(placed: DataFrame, key: str) -> DataFrame:
+    """Keys whose members are in several components, with the largest of these."""
+    sizes = placed.groupBy(key, "comp").agg(F.count("*").alias("c"))
+    return sizes.groupBy(key).agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("largest")).where(
+        "comps > 1").drop("comps")
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, set) -> node, n, shingle, at: the shingles by which a set can reach the threshold.
+
+    Sets in a common order of shingles, rarest first: if two sets share as much as the
+    threshold asks, their first common shingle leaves enough behind it in both, so it is among
+    the first few of each. Shingles of one set only are left out; ``at`` counts them.
+    """
+    items = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    counts = items.groupBy("shingle").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("node").orderBy("f", "shingle")
+    ranked = split_join(items, counts, ["shingle"]).withColumn("at", F.row_number().over(order) - 1)
+    return ranked.where((F.col("at") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100")) & (F.col("f") > 1)).drop("f")
+
+
+def _links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(node, root) over classes (node, n, bands): components of the exact links; None without any."""
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    active = cut(split_join(members, shared, ["bucket"]), "buckets")
-    budget = FEW_PAIRS * active.count()
-    nodes = cut(active.select(F.col("node").alias("row_id")).distinct(), "candidates")
+    buckets = cut(split_join(members, shared, ["bucket"]), "buckets")
+    nodes = cut(buckets.select(F.col("node").alias("row_id")).distinct(), "candidates")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     sets = cut(full_sets(rows.join(wanted, "row_id", "left_semi"), words), "sets")
-    links: DataFrame | None = None
-    known = None
-    while True:
-        placed = active.withColumn("comp", F.col("node")) if known is None else split_join(
-            active, known, ["node"], "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
-        placed = cut(placed, "placed")
-        by_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-        open_pairs = by_comp.groupBy("bucket").agg(
-            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).cast("long").alias("pairs"),
-            F.max(F.struct("c", "comp")).alias("largest")).where("pairs > 0")
-        open_pairs = cut(open_pairs.select("bucket", "pairs", F.col("largest.comp").alias("largest")), "open")
-        left = open_pairs.agg(F.sum("pairs")).first()[0]
-        if not left:
-            break
-        last = left <= budget
-        here = split_join(placed, open_pairs.drop("pairs"), ["bucket"])
-        # members outside the largest component meet all: at most four times the pairs left
-        others = here.where("comp <> largest").select(
-            "bucket", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("comp").alias("pivot_comp"))
-        if not last:
-            others = others.groupBy("bucket").agg(F.min(F.struct("pivot", "m", "pivot_comp")).alias("p")).select("bucket", "p.*")
-        met = split_join(here, others, ["bucket"]).where((F.col("comp") != F.col("pivot_comp")) & _compatible(percent))
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = cut(_verified(pairs, sets, percent), "verified")
-        links = found if links is None else links.union(found)
+
+    # first, every bucket's pivot (by hash, so that a group's buckets test different ones)
+    pivots = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("by"), "node", "n")).alias("p"))
+    pivots = pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"))
+    met = split_join(buckets, pivots, ["bucket"]).where((F.col("node") != F.col("pivot")) & _compatible(percent))
+    links = cut(_verified(_pairs(met), sets, percent), "verified")
+    if links.isEmpty():
+        placed = buckets.withColumn("comp", F.col("node"))
+    else:
         known = cut(components(links), "components")
-        if last:
-            break
-        done = others.select("bucket", F.col("pivot").alias("node"))
-        active = cut(here.join(done, ["bucket", "node"], "left_anti").select("bucket", "node", "n"), "buckets")
-    if known is None:
-        known = active.select("node", F.col("node").alias("root")).limit(0)
-    return known
+        placed = split_join(buckets, known, ["node"], "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+    # then, pairs between components left in a bucket, as far as their rarest shingles allow a link
+    placed = cut(placed.select("bucket", "node", "comp"), "placed")
+    left = cut(split_join(placed, _open(placed, "bucket").select("bucket"), ["bucket"]).select("node", "comp").distinct(), "open")
+    keyed = cut(split_join(_rarest(split_join(sets, left.select("node"), ["node"], "left_semi"), percent), left, ["node"]), "rarest")
+    here = split_join(keyed, _open(keyed, "shingle"), ["shingle"])
+    # members outside the largest component meet all: at most four times the pairs between components
+    others = here.where("comp <> largest").select("shingle", F.col("node").alias("pivot"), F.col("n").alias("m"),
+                                                  F.col("at").alias("pivot_at"), F.col("comp").alias("pivot_comp"))
+    need = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    met = split_join(here, others, ["shingle"]).where(
+        (F.col("comp") != F.col("pivot_comp")) & _compatible(percent)
+        & (F.col("at") <= F.col("n") - need) & (F.col("pivot_at") <= F.col("m") - need))
+    links = cut(links.union(_verified(_pairs(met), sets, percent)), "verified")
+    return None if links.isEmpty() else cut(components(links), "components")
 
 
 def _labelled(rows: DataFrame, words: int, percent: int, rows_per_band: int, miss: float) -> DataFrame:
@@ -225,8 +250,9 @@ def _labelled(rows: DataFrame, words: int, percent: int, rows_per_band: int, mis
         F.min("row_id").alias("node"), F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes, "classes")
     known = _links(classes, rows, words, percent)
-    rooted = split_join(classes.select("node", "digest", "first"), known, ["node"], "left").withColumn(
-        "root", F.coalesce("root", "node"))
+    rooted = classes.select("node", "digest", "first")
+    rooted = rooted.withColumn("root", F.col("node")) if known is None else split_join(
+        rooted, known, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     heads = split_join(rooted.select("root", "digest"), heads, ["root"]).select("digest", "head")
     out = split_join(docs.drop("bands"), heads, ["digest"], "left")
@@ -235,7 +261,7 @@ def _labelled(rows: DataFrame, words: int, percent: int, rows_per_band: int, mis
 
 
 def near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
-                rows_per_band: int = 5, miss: float = 1e-6) -> DataFrame:
+                rows_per_band: int = 8, miss: float = 1e-6) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = with_row_id(pick(df, doc_id=doc_id, text=text), "near-rows")
     out = _labelled(rows, words, percent, rows_per_band, miss)
@@ -243,7 +269,7 @@ def near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wo
 
 
 def drop_near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
-                     rows_per_band: int = 5, miss: float = 1e-6) -> DataFrame:
+                     rows_per_band: int = 8, miss: float = 1e-6) -> DataFrame:
     """The input's columns and the rows that stay: one of each component."""
     frame, restore = carry(df, doc_id=doc_id, text=text)
     rows = with_row_id(frame, "near-rows")
