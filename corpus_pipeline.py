@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer=tokenizer_path("word_bpe_49k.json"), length=4096, end_id=2, by_word=True)
+    return packing.pack(docs, tokenizer=tokenizer_path("word_bpe_49k.json"), length=4096, end_id=2)
 
 
 STAGES = [

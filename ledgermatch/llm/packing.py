@@ -8,8 +8,9 @@ the multiples of ``length``, so a window's border falls wherever it falls: a doc
 it leaves a boundary piece on both sides. Nothing is shuffled and no task sees more than its
 partition. Only the last sequence needs padding.
 
-Tokenisers that drop white space and never join across it (``by_word``) are run once per
-distinct word of a task, from a bounded cache; ids are those of whole texts.
+A tokeniser that lower-cases, drops white space and never joins across it (read from its
+file) is run once per distinct word, from a bounded cache; ids are those of whole texts. Strings of
+added tokens in a text get these tokens' ids, as the tokeniser gives them by default.
 
 Defined cases: NULL counts as empty; an empty text is the end id alone; repeated rows and ids
 are documents of their own; an empty table has no pieces.
@@ -17,12 +18,15 @@ are documents of their own; an empty table has no pieces.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,22 +34,54 @@ from pyspark.sql import functions as F
 from ledgermatch.llm.common import cut, pick, ship
 
 #: Words kept with their ids by each Python worker.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 #: Partition totals are broadcast up to so many partitions (16 bytes each).
 BROADCAST_PARTS = 1_000_000
 
 
+#: Printable ASCII and Latin-1 letters: such a word is its own NFC form and lower-cases letter by letter.
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters of byte-level vocabularies: printable bytes stand for themselves, others follow from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _Words(dict):
-    """word -> its ids as bytes, filled on demand and emptied when full."""
+    """word -> its ids as bytes, filled on demand and emptied when full.
 
-    def __init__(self, tokenizer, dtype):
+    Words of common letters are split by the tokeniser's own pattern and their parts go
+    straight to its model; any other word takes the tokeniser's whole way.
+    """
+
+    def __init__(self, tokenizer, dtype, pattern: str, added: list[str]):
         super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
+        self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
+        self.split, self.added, self.letters = regex.compile(pattern).findall, added, _byte_letters()
+        self.parts: dict[str, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.asarray(ids, self.dtype).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= CACHED_WORDS:
+                self.parts.clear()
+            spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            ids = self.parts[part] = self._packed([t.id for t in self.model.tokenize(spelled)])
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= 2 * CACHED_WORDS:
             self.clear()
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        if PLAIN.fullmatch(word) and not any(a in word for a in self.added):
+            ids = b"".join(map(self._part, self.split(word.lower())))
+        else:
+            ids = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self[word] = ids
         return ids
 
@@ -54,27 +90,43 @@ class _Words(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+def _word_pattern(spec: dict) -> str | None:
+    """The pattern of a tokeniser that lower-cases, drops white space and never joins across it; else None."""
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, letters = steps
+    pattern = split["pattern"].get("Regex", "")
+    plain = not letters["add_prefix_space"] and not letters["use_regex"] and spec.get("post_processor") is None
+    drops = split["behavior"] == "Removed" and split["invert"] and not regex.search(pattern, " \t\r\n")
+    return pattern if plain and drops and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]) else None
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str, by_word: bool):
+def _encoder(path: str):
     """(function: list of texts -> list of id bytes, id type)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
     dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
-    if by_word:
-        words = _Words(tokenizer, dtype)
+    pattern = _word_pattern(spec)
+    if pattern:
+        words = _Words(tokenizer, dtype, pattern, [t["content"] for t in spec["added_tokens"]])
         return (lambda texts: [words.ids(t) for t in texts]), dtype
     return (lambda texts: [np.asarray(e.ids, dtype).tobytes()
                            for e in tokenizer.encode_batch(texts, add_special_tokens=False)]), dtype
 
 
-def tokenised(df: DataFrame, tokenizer: str, end_id: int, by_word: bool) -> DataFrame:
+def tokenised(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, text) -> doc_id, ids (little-endian), tokens, part, place (tokens before it in the part)."""
     ship(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, dtype = _encoder(tokenizer, by_word)
+        encode, dtype = _encoder(tokenizer)
         end, part, before = np.asarray([end_id], dtype).tobytes(), TaskContext.get().partitionId(), 0
         for b in batches:
             ids = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()])]
@@ -89,10 +141,10 @@ def tokenised(df: DataFrame, tokenizer: str, end_id: int, by_word: bool) -> Data
     return cut(df.mapInArrow(work, f"doc_id {kind}, ids binary, tokens bigint, part int, place bigint"), "tokens")
 
 
-def pack(df: DataFrame, *, tokenizer: str, length: int = 4096, end_id: int = 2, by_word: bool = False,
-         doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, *, tokenizer: str, length: int = 4096, end_id: int = 2, doc_id: str = "doc_id",
+         text: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    docs = tokenised(pick(df, doc_id=doc_id, text=text), tokenizer, end_id, by_word)
+    docs = tokenised(pick(df, doc_id=doc_id, text=text), tokenizer, end_id)
     totals = docs.groupBy("part").agg(F.sum("tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "offsets")
