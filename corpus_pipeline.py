@@ -12,9 +12,12 @@ stages but the last return the columns of ``documents``:
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgermatch.llm import exact_dedup, mixing, near_dedup, packing, quality
+from ledgermatch.llm.common import cuts_made, discard
 from ledgermatch.llm.registry import QUALITY_THRESHOLD, table, tokenizer_path
 from ledgermatch.session import scratch_path
 
@@ -22,22 +25,51 @@ from ledgermatch.session import scratch_path
 ORACLE_SQL = None
 
 
+#: Working tables of the stage that ran last. They go when the next stage starts.
+_LEFT: list[str] = []
+
+
+def _stage(work):
+    """A stage that first discards the working tables of the one before, whose result is written by now.
+
+    A stage handed a frame that still reads such a table (an unwritten result) keeps them.
+    """
+
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()}
+        if not any(folder.rsplit("/", 1)[-1] in read for folder in _LEFT):
+            discard(spark, _LEFT)
+            _LEFT.clear()
+        with cuts_made() as made:
+            out = work(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return out
+
+    return stage
+
+
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), threshold=QUALITY_THRESHOLD)
 
 
+@_stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_copies(docs, words=5, percent=80)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer=tokenizer_path("word_bpe_49k.json"), length=4096, end_id=2)
 

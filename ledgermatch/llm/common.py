@@ -14,7 +14,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ SPACES = " \t\n\x0b\f\r"
 BUCKET_ROWS = 4096
 
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
 
 
 def find(df: DataFrame, name: str) -> int:
@@ -72,10 +74,31 @@ def carry(df: DataFrame, **cols: str) -> tuple[DataFrame, Callable[[DataFrame, l
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, rows are fixed."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cuts_made() -> Iterator[list[str]]:
+    """The list fills with the folders that ``cut`` writes inside the block."""
+    made: list[str] = []
+    first = len(_WRITTEN)
+    try:
+        yield made
+    finally:
+        made.extend(_WRITTEN[first:])
+        del _WRITTEN[first:]
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders that ``cut`` wrote, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once with a ``row_id`` (unique; it stays as the rows are fixed)."""
     return cut(df.withColumn("row_id", F.monotonically_increasing_id()), name)
