@@ -81,7 +81,7 @@ def fingerprint(df: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def _successors(keys: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, n_chars) -> p1, p2, k, k1, k2: each document's head to take from the next.
+    """(doc_id, k1, k2, n_chars) -> doc_id, p1, p2, k, k1, k2: each document, and what its next one gives.
 
     Distinct keys are range-partitioned and written; a window runs within a partition, and a
     table of one row per partition joins the ends.
@@ -96,7 +96,7 @@ def _successors(keys: DataFrame) -> DataFrame:
     around = firsts.select("part", F.coalesce(F.lead("first").over(ends), F.first("first").over(
         ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     linked = ranged.join(around, "part").withColumn("next", F.coalesce("next", "after"))
-    return linked.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.expr("n_chars div 4").alias("k"),
+    return linked.select("doc_id", F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.expr("n_chars div 4").alias("k"),
                          F.col("next.k1").alias("k1"), F.col("next.k2").alias("k2"))
 
 
@@ -113,11 +113,12 @@ def compare_edited(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     rows = rows.withColumns({"k1": F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"),
                              "k2": F.xxhash64(F.lit("second"), "text", "doc_id")})
     links = _successors(rows.select("doc_id", "k1", "k2", F.length("text").alias("n_chars")))
-    texts = rows.select("k1", "k2", "doc_id", "text")
+    texts = rows.select("k1", "k2", "text")  # the same columns in both joins, so that one exchange serves them
     heads = texts.join(links, ["k1", "k2"]).select(
-        "p1", "p2", F.left("text", F.col("k")).alias("head"), blocks(F.col("text")).alias("next_blocks"))
-    heads = heads.groupBy("p1", "p2").agg(F.first("head").alias("head"), F.first("next_blocks").alias("next_blocks"))
-    pairs = texts.join(heads.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), "head", "next_blocks"), ["k1", "k2"])
+        "doc_id", "p1", "p2", F.left("text", F.col("k")).alias("head"), blocks(F.col("text")).alias("next_blocks"))
+    heads = heads.groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(
+        F.first("doc_id").alias("doc_id"), F.first("head").alias("head"), F.first("next_blocks").alias("next_blocks"))
+    pairs = texts.join(heads, ["k1", "k2"])
     n = F.length("text")
     pairs = pairs.withColumns({"n_chars": n.cast("long"),
                                "edited": F.concat(F.left("text", n - F.expr("length(text) div 4").cast("int")), "head")})
