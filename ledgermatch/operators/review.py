@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import arrays, rules
-from ..plans.joins import join_small
+from ..plans.joins import join_small, split_join
 
 KEYS = ["_kc", "_cn", "_kt", "_tn"]
 # Fixed-size per-key aggregates the R9 rule reads instead of the id array.
@@ -134,7 +134,9 @@ def _review_core(led: Ledgers) -> DataFrame:
         scale_of(led.wallet_transactions, "amount").alias("_amount_scale"),
         *_normalised_keys(F.col("country"), F.col("transaction_id")))
     stats = key_statistics(debits, led.swap_transactions)
-    j = debits.join(stats, KEYS, "inner")
+    # both sides exchange once more, so that AQE can split a hot key's debits
+    right = [f"_s{k}" for k in KEYS]
+    j = split_join(debits, stats.withColumnsRenamed(dict(zip(KEYS, right))), list(zip(KEYS, right)))
     has_group = F.col("swap_count") > 0
     return j.select(
         F.col("zoho_record_id").alias("wallet_record_id"),

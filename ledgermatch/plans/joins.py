@@ -22,3 +22,17 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
+
+
+def split_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """Equi-join on ``left.a = right.b`` (names of the two sides differ) whose hot keys can be split.
+
+    A side that comes straight from an aggregate on the join keys keeps its
+    partitioning, and AQE cannot split a partition without an exchange of its
+    own. A derived key more makes both sides exchange."""
+    left = left.withColumn("_lk", F.xxhash64(*[F.col(a) for a, _ in pairs]))
+    right = right.withColumn("_rk", F.xxhash64(*[F.col(b) for _, b in pairs]))
+    on = left["_lk"] == right["_rk"]
+    for a, b in pairs:
+        on = on & (left[a] == right[b])
+    return left.join(right, on, how).drop("_lk", "_rk")

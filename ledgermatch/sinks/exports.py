@@ -93,11 +93,13 @@ def as_text(df: DataFrame, protect: bool = False) -> DataFrame:
     return df.select(*out)
 
 
-def capped(df: DataFrame, cap: int = C.MAX_EXPORT) -> DataFrame:
-    """Refuse an interactive export above ``cap`` rows (counts at most cap+1)."""
-    if df.limit(cap + 1).count() > cap:
-        raise ValueError(f"More than {cap:,} records. Narrow the country or date range, "
-                         "or use the project report command.")
+def capped(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """Refuse an interactive export above ``cap`` rows (counts at most cap+1).
+
+    Without a cap (the default) every row is exported; ``C.MAX_EXPORT`` is the
+    cap an interactive caller may set."""
+    if cap is not None and df.limit(cap + 1).count() > cap:
+        raise ValueError(f"The selection exceeds the export cap of {cap} rows.")
     return df
 
 
@@ -179,8 +181,8 @@ def write_missing_reports(spark: SparkSession, led, root: str,
 
 
 def tracking_export(led, group: str, filters: Q.ReconciliationFilter | None = None,
-                    cap: int = C.MAX_EXPORT) -> DataFrame:
-    """E4 + E5: one tracking group's detail rows as protected text, capped."""
+                    cap: int | None = None) -> DataFrame:
+    """E4 + E5: one tracking group's detail rows as protected text, up to ``cap`` rows if given."""
     if group not in C.TRACKING_GROUPS:
         raise ValueError("Choose a known counterpart tracking group.")
     side, cls = C.TRACKING_GROUPS[group]

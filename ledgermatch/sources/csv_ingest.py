@@ -19,6 +19,8 @@ single task; parallelism comes from the number of files in the drop.
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,12 +62,22 @@ def _split_header(line: Column) -> Column:
         F.regexp_replace(f, r'^"(.*)"$', "$1"), '""', '"'))
 
 
+def plain_path(c: Column) -> Column:
+    """A file's path as written; the metadata column gives it percent-encoded."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def literal(path: str) -> str:
+    """``path`` with its glob characters escaped, to read exactly that file."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def header_audit(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """I4 + I5: (file_path, file_name, headers, missing, duplicates, dataset,
     problem) for every file. Reads only the first split of each file."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = (spark.read.text(paths)
-             .select("value", F.col("_metadata.file_path").alias("file_path"),
+             .select("value", plain_path(F.col("_metadata.file_path")).alias("file_path"),
                      F.col("_metadata.file_name").alias("file_name"),
                      F.col("_metadata.file_block_start").alias("block"))
              .filter(F.col("block") == 0)
@@ -215,7 +227,7 @@ def ingest(spark: SparkSession, paths: str | list[str], dataset: str | None = No
         layouts.setdefault((r.dataset, tuple(r.headers)), []).append(r.file_path)
     out: dict[str, IngestResult] = {}
     for (ds, headers), files in sorted(layouts.items()):
-        res = read_typed(spark, sorted(files), ds, list(headers))
+        res = read_typed(spark, [literal(f) for f in sorted(files)], ds, list(headers))
         if ds in out:
             prev = out[ds]
             res = IngestResult(ds, prev.rows.unionByName(res.rows), prev.rejects.unionByName(res.rejects),

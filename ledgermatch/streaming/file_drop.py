@@ -42,8 +42,9 @@ def import_batch(spark: SparkSession, paths: list[str], root: str, gold_root: st
     """Import the given files (one unit each, load order), then refresh gold."""
     if not paths:
         return []
-    audit = {r.file_path: r.dataset for r in csv_ingest.header_audit(spark, paths).collect()}
-    digests = {r.source_file: r.sha256 for r in csv_ingest.checksums(spark, paths).collect()}
+    exact = [csv_ingest.literal(p) for p in paths]
+    audit = {r.file_path: r.dataset for r in csv_ingest.header_audit(spark, exact).collect()}
+    digests = {r.source_file: r.sha256 for r in csv_ingest.checksums(spark, exact).collect()}
     done = _already_imported(spark, root, {d for d in digests.values() if d})
     results, failures = [], []
     for ds in S.LOAD_ORDER:
@@ -51,7 +52,7 @@ def import_batch(spark: SparkSession, paths: list[str], root: str, gold_root: st
             if digests.get(path.rsplit("/", 1)[-1]) in done:
                 continue
             try:
-                results.append(M.import_file(spark, root, path, ds))
+                results.append(M.import_file(spark, root, csv_ingest.literal(path), ds))
             except ValueError as exc:
                 failures.append((path, ds, str(exc), dt.datetime.now(dt.timezone.utc)))
     unknown = [(p, None, "Not a complete export.", dt.datetime.now(dt.timezone.utc))

@@ -173,3 +173,15 @@ def test_inspect_preview_and_its_errors(spark, folder):
     empty = write_csv(third, "empty.csv", "swap", [])
     with pytest.raises(ValueError, match="no data records"):
         I.inspect(spark, empty)
+
+
+def test_file_names_with_spaces_and_glob_characters(spark, tmp_path):
+    """An export whose name holds a space, a plus, a percent sign and brackets is audited and read."""
+    headers = list(S.headers_of("wallet"))
+    for name in ("Wallet Transactions (1).csv", "a+b 100% [x].csv"):
+        (tmp_path / name).write_text(",".join(f'"{h}"' for h in headers) + "\n" + ",".join(
+            '"r1"' if h == "Record Id" else '""' for h in headers) + "\n")
+    audit = I.header_audit(spark, str(tmp_path)).collect()
+    assert {r.dataset for r in audit} == {"wallet"} and all(" " in r.file_path for r in audit)
+    parsed = I.ingest(spark, str(tmp_path))["wallet"].parsed
+    assert parsed.count() == 2
