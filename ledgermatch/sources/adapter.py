@@ -27,6 +27,7 @@ from ..session import work_root
 SWAP_WINDOW_START = "1995-07-01 00:00:00"
 SWAP_WINDOW_END = "2001-01-01 00:00:00"
 NATION_WITHOUT_SWAPS = 24
+SWAP_ONLY_COUNTRY = "Offshore"
 NATION_WITHOUT_SWAP_TIMES = 23
 IMPORTED_AT = "2026-10-05 00:00:00"
 MASTER_CREATED_ON = "1994-06-01 00:00:00"
@@ -91,7 +92,7 @@ def wallet_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(
         rid.alias("zoho_record_id"),
         "transaction_id",
-        F.concat(F.lit("ref-"), _s(k)).alias("reference"),
+        F.concat(F.when(_m(k, 12), F.lit("=ref-")).otherwise(F.lit("ref-")), _s(k)).alias("reference"),
         F.concat(F.lit("rid-"), _s(k)).alias("source_record_id"),
         F.when(_m(k, 29), F.lit("w-none")).otherwise(F.concat(F.lit("w-"), _s(ck))).alias("wallet_id"),
         F.col("c_name").alias("wallet_label"),
@@ -114,24 +115,23 @@ def wallet_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def swap_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _base(spark, sf_dir).filter(
-        (F.col("nk") != NATION_WITHOUT_SWAPS)
-        & (F.col("o_orderdate") >= F.lit(SWAP_WINDOW_START).cast("timestamp_ntz"))
-        & (F.col("o_orderdate") < F.lit(SWAP_WINDOW_END).cast("timestamp_ntz")))
-    lines = (
-        _read(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_linenumber")
-        .filter(F.col("l_linenumber") <= 2)
-        .distinct()
-    )
+    """Every order line is a swap; a line number that an order repeats is the same record.
+
+    Swaps of orders outside the window have no time and an id that no debit shares, and those of one
+    nation are booked in a country of their own: that leaves debits without swaps, debits
+    before and after the observed span, and a country without swaps."""
+    b = _base(spark, sf_dir)
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     s = b.join(lines, b.k == lines.l_orderkey)
     k, ck, nk, ln = F.col("k"), F.col("ck"), F.col("nk"), F.col("l_linenumber")
+    outside = ((F.col("o_orderdate") < F.lit(SWAP_WINDOW_START).cast("timestamp_ntz"))
+               | (F.col("o_orderdate") >= F.lit(SWAP_WINDOW_END).cast("timestamp_ntz")))
     rid = F.concat(F.lit("sw-"), _s(k), F.lit("-"), _s(ln))
     station = _s(k % 7)
     return s.select(
         rid.alias("zoho_record_id"),
         F.when(_m(k, 17), F.lit(None).cast("string")).otherwise(F.concat(F.lit("bs-"), _s(k))).alias("swap_reference"),
-        "transaction_id",
+        F.when(outside, F.concat(F.lit("out-"), _s(k))).otherwise(F.col("transaction_id")).alias("transaction_id"),
         F.concat(F.lit("rid-"), rid).alias("source_record_id"),
         F.when(_m(k, 31), F.lit("c-other"))
         .when(_m(k, 71), F.lit(None).cast("string"))
@@ -139,7 +139,7 @@ def swap_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_m(k, 10), F.lit(None).cast("string")).otherwise(F.col("c_name")).alias("customer_label"),
         F.when(_m(k, 5), F.lit(None).cast("string")).otherwise(F.col("c_name")).alias("customer_name"),
         F.concat(F.lit("veh-"), _s(ck)).alias("vehicle_id"),
-        F.concat(F.lit("KX "), _s(ck)).alias("vehicle_registration"),
+        F.concat(F.when(_m(ck, 12), F.lit("-KX ")).otherwise(F.lit("KX ")), _s(ck)).alias("vehicle_registration"),
         F.concat(F.lit("st-"), station).alias("station_id"),
         F.concat(F.lit("Station "), station).alias("station_label"),
         F.concat(F.lit("S"), station).alias("station_code"),
@@ -147,22 +147,22 @@ def swap_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("out_battery_oem"),
         F.concat(F.lit("in-"), _s(k)).alias("in_battery_serial"),
         F.concat(F.lit("out-"), _s(k)).alias("out_battery_serial"),
-        "country",
+        F.when(nk == NATION_WITHOUT_SWAPS, F.lit(SWAP_ONLY_COUNTRY)).otherwise(F.col("country")).alias("country"),
         F.lit(None).cast("string").alias("city"),
         F.when(_m(k, 19), F.lit("OFFER_APPLIED"))
         .when(_m(k, 37), F.lit(None).cast("string"))
         .otherwise(F.lit("WALLET")).alias("payment_method"),
         F.when(ln == 1, F.when(_m(k, 7), F.lit("FAILED")).otherwise(F.lit("SUCCESS")))
-        .otherwise(F.when(_m(k, 13), F.lit("SUCCESS")).otherwise(F.lit("FAILED"))).alias("status"),
+        .when((ln == 2) & _m(k, 13), F.lit("SUCCESS")).otherwise(F.lit("FAILED")).alias("status"),
         F.when(_m(k, 47), F.lit(None).cast("decimal(18,2)"))
         .when(_m(k, 23), (F.col("amt") + F.lit(0.01).cast("decimal(18,2)")).cast("decimal(18,2)"))
         .otherwise(F.col("amt")).alias("swap_amount"),
         F.col("o_orderdate").cast("date").alias("swap_date"),
-        F.when((nk == NATION_WITHOUT_SWAP_TIMES) | _m(k, 73), F.lit(None).cast("timestamp_ntz"))
+        F.when(outside | (nk == NATION_WITHOUT_SWAP_TIMES) | _m(k, 73), F.lit(None).cast("timestamp_ntz"))
         .otherwise(F.col("o_orderdate") + F.expr("INTERVAL 2 SECONDS")).alias("created_on"),
         F.col("o_orderdate").alias("source_modified_at"),
         F.lit(None).cast("timestamp_ntz").alias("source_change_at"),
-        *_provenance("adapter_swap_transactions.csv", k * 2 + ln,
+        *_provenance("adapter_swap_transactions.csv", k * 8 + ln,
                      F.concat(F.lit('{"Record Id": "'), rid, F.lit('"}'))),
     )
 
@@ -220,7 +220,7 @@ SOURCE_TABLES = ("orders", "customer", "nation", "lineitem")
 
 # Bumped whenever the derived tables' layout changes, so stored copies made by
 # older code are never reused.
-LAYOUT_VERSION = "4"
+LAYOUT_VERSION = "5"
 
 
 def _signature(sf_dir: str) -> str:
