@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import schema as S
 from .functions import arrays, rules
 from .operators import counterparts as G
 from .operators import query as Q
@@ -495,6 +496,13 @@ def _profile(dataset, folder):
     return fn
 
 
+@register_raw("profile_statuses")
+def _profile_statuses(spark, sf_dir):
+    parts = [I.status_counts(_ingested(spark, sf_dir, ds, ds).rows, ds).select(F.lit(ds).alias("dataset"), "*")
+             for ds in S.LOAD_ORDER]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 register_raw("profile_wallet")(_profile("wallet", "wallet"))
 register_raw("profile_swap")(_profile("swap", "swap"))
 register_raw("profile_wallet_master")(_profile("wallet_master", "wallet_master"))
@@ -561,9 +569,15 @@ AUDIT_COLS = ["batch_id", "dataset", "rows_read", "rows_applied", "min_created_o
 
 @register_raw("batch_load")
 def _batch_load(spark, sf_dir):
+    """What the load put into the three tables: rows, ids, span and amounts read back."""
     root = _loaded_store(spark, sf_dir)
-    parts = [store.committed(spark, root, t).select(F.lit(t).alias("table_name"), "version")
-             for t in ("wallets", "wallet_transactions", "swap_transactions")]
+    parts = []
+    for ds, t in S.TABLES.items():
+        rows = store.read(spark, root, t, S.table_schema(ds))
+        parts.append(rows.agg(
+            F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("rows"),
+            F.count_distinct("zoho_record_id").alias("record_ids"), F.min("created_on").alias("first"),
+            F.max("created_on").alias("last"), F.sum(S.AMOUNT_FIELD[ds]).cast("decimal(38,6)").alias("amounts")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -668,10 +682,17 @@ def _gold_tracking(spark, sf_dir):
 
 @register_raw("gold_equals_live")
 def _gold_live(spark, sf_dir):
-    gold = comparable(GOLD.read(spark, _gold_root(spark, sf_dir), "reconciliation"))
-    live = comparable(R.backend_reconciliation(ledgers(spark, sf_dir)))
-    return GOLD.difference(live, gold).select(F.col("left_only").alias("live_only"),
-                                              F.col("right_only").alias("gold_only"))
+    """Rows of each stored table, and rows that only it or only the live result has."""
+    root = _gold_root(spark, sf_dir)
+    out = None
+    for name, live in GOLD.build(ledgers(spark, sf_dir)).items():
+        gold = GOLD.read(spark, root, name)
+        row = GOLD.difference(comparable(live), comparable(gold)).select(
+            F.lit(name).alias("table_name"), F.col("left_only").alias("live_only"),
+            F.col("right_only").alias("gold_only")).join(
+            gold.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows")), "table_name")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register_raw("gold_staleness")
@@ -702,14 +723,18 @@ def _e2(spark, sf_dir):
                                  "deduction_count long, needs_review_count long, candidate_count long")
 
 
-@register_raw("missing_export")
-def _e3(spark, sf_dir):
-    led = ledgers(spark, sf_dir)
-    root = scratch_path(spark, "reports")
-    s = E.write_missing_reports(spark, led, root)
-    base = f"{root}/missing_counterparts/v={s['version']:08d}"
-    return spark.read.options(header="true", escape='"', multiLine="true").schema(
-        ", ".join(f"`{c}` string" for c, _ in WALLET_GAP_KINDS)).csv(f"{base}/wallet_without_swap")
+def _missing_export(side, kinds):
+    def fn(spark, sf_dir):
+        root = scratch_path(spark, "reports")
+        s = E.write_missing_reports(spark, ledgers(spark, sf_dir), root)
+        path = store.part_path(spark, root, "missing_counterparts", side, s["version"])
+        return spark.read.options(header="true", escape='"', multiLine="true").schema(
+            ", ".join(f"`{c}` string" for c, _ in kinds)).csv(path)
+    return fn
+
+
+register_raw("missing_export")(_missing_export(G.WALLET_SIDE, WALLET_GAP_KINDS))
+register_raw("missing_export_swaps")(_missing_export(G.SWAP_SIDE, SWAP_GAP_KINDS))
 
 
 @register("csv_protect")

@@ -108,10 +108,11 @@ def merge(existing: DataFrame, incoming: DataFrame, imported_at: Column | None =
 
 
 def import_file(spark: SparkSession, root: str, path: str, dataset: str | None = None,
-                strict: bool = True) -> dict:
+                strict: bool = True, unit: str = "") -> dict:
     """I14 + I15: parse one file, merge it, and commit rows + audit row as one
     new version of the table. With ``strict`` any reject fails the file and
-    nothing is written. Returns the audit row as a dict."""
+    nothing is written. ``unit`` names the unit of work in the commit marker.
+    Returns the audit row as a dict."""
     results = csv_ingest.ingest(spark, path, dataset)
     if len(results) != 1:
         raise ValueError("One dataset per file.")
@@ -148,7 +149,7 @@ def import_file(spark: SparkSession, root: str, path: str, dataset: str | None =
               summary.hi, dt.datetime.now(dt.timezone.utc))], AUDIT_SCHEMA)
 
     version = store.commit(spark, root, table, {"data": merged.drop("_applied"), "batch": batch},
-                           note=source_file, expected_version=current)
+                           note=unit or source_file, expected_version=current)
     staged.unpersist()
     return {"dataset": ds, "source_file": source_file, "sha256": sha256, "rows_read": summary.rows_read,
             "rows_applied": applied.get["rows"], "version": version,

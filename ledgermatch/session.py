@@ -47,13 +47,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def work_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir); set a
-    fresh local one only when the session has none, as in tests.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). A local
+    session that names none, as in tests, gets a fresh folder; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Name a folder that all executors share in spark.checkpoint.dir.")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgermatch-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

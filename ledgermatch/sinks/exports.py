@@ -8,6 +8,7 @@ Text rules (as the reports are read by people and spreadsheets):
 * decimals as exact text, times as ISO-8601 (fraction only when non-zero),
   dates as ISO, booleans as True/False;
 * arrays as JSON text with ``", "`` between elements (NULL -> ``null``);
+* every part file starts with a byte order mark, so that spreadsheets read it as UTF-8;
 * optionally, text starting with ``= + - @ TAB CR`` gets a leading quote
   (cell protection; not applied to the command-line review export).
 """
@@ -42,6 +43,7 @@ REVIEW_NOTE = ("Review candidates require investigation. Source coverage and ref
                "verified.")
 # --- end of fixed values -----------------------------------------------------
 
+BYTE_ORDER_MARK = "\ufeff"
 CSV_WRITE = {"header": "true", "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false",
              "ignoreTrailingWhiteSpace": "false", "nullValue": "", "emptyValue": '""'}
 
@@ -110,21 +112,26 @@ def review_candidates(recon: DataFrame, filters: Q.ReconciliationFilter | None =
     return as_text(r.select(*REVIEW_EXPORT_FIELDS, *scales)).orderBy("wallet_record_id")
 
 
+def with_mark(df: DataFrame) -> DataFrame:
+    """The byte order mark before the header line: part of the first column's name."""
+    return df.withColumnRenamed(df.columns[0], BYTE_ORDER_MARK + df.columns[0])
+
+
 def _publish(spark: SparkSession, root: str, report: str, parts: dict[str, DataFrame],
              summary: dict | Callable[[], dict]) -> int:
     """Write the parts, then the summary (a dict, or a function called after
     the parts are written -- it may refuse to publish by raising), then the
     commit marker that makes the report visible."""
-    version = store.latest_version(spark, root, report)
-    base = f"{root}/{report}/v={(version or 0) + 1:08d}"
+    version = (store.latest_version(spark, root, report) or 0) + 1
+    attempt = store.new_attempt(version)
+    base = f"{root}/{report}/v={attempt}"
     for name, df in parts.items():
-        df.write.mode("errorifexists").options(**CSV_WRITE).csv(f"{base}/{name}")
+        with_mark(df).write.mode("errorifexists").options(**CSV_WRITE).csv(f"{base}/{name}")
     summary = summary() if callable(summary) else summary
     spark.createDataFrame([(json.dumps(summary, ensure_ascii=False, default=str),)], "summary string") \
         .coalesce(1).write.mode("errorifexists").text(f"{base}/summary")
-    spark.createDataFrame([((version or 0) + 1, report)], "version long, note string").coalesce(1) \
-        .write.mode("errorifexists").parquet(f"{base}/commit")
-    return (version or 0) + 1
+    store.mark(spark, root, report, version, attempt, report)
+    return version
 
 
 def write_review_report(spark: SparkSession, recon: DataFrame, root: str,
@@ -141,7 +148,7 @@ def write_review_report(spark: SparkSession, recon: DataFrame, root: str,
     def checked_summary() -> dict:
         count = written.get["rows"]
         if count != summary["needs_review_count"]:
-            raise RuntimeError("Candidate export count does not agree with the summary.")
+            raise RuntimeError(f"{count} exported candidates: the count does not agree with the summary's.")
         summary.update(generated_at_utc=dt.datetime.now(dt.timezone.utc).isoformat(), candidate_count=count,
                        note=REVIEW_NOTE)
         return summary

@@ -241,7 +241,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(f"{path}/_SUCCESS")
         return True
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 

@@ -192,7 +192,8 @@ def read_typed(spark: SparkSession, files: list[str], dataset: str, headers: lis
         if kind == "decimal":
             scales.append(F.when(value.isNotNull(), written_scale(by_header[header]))
                           .alias(col + S.SCALE_SUFFIX))
-    kept = [h for h in headers if h not in sensitive]
+    # sorted names: the same record gives the same text whatever the file's column order
+    kept = sorted(h for h in headers if h not in sensitive)
     raw_record = F.to_json(F.struct(*[F.coalesce(by_header[h], F.lit("")).alias(h) for h in kept]))
     reason = F.coalesce(
         F.when(F.col(CORRUPT).isNotNull(), F.lit("has the wrong number of fields")),

@@ -5,15 +5,19 @@ folder; each micro-batch (at most ``max_files`` new files) runs the import
 unit of ``operators.merge`` per file -- header audit, typed read, strict
 rejects, versioned merge, audit row -- in load order wallet master -> wallet
 -> swap, then refreshes the gold tables once. The stream's checkpoint (below
-the shared work folder) records which files were handed out; a replayed
-batch skips files whose digest is already in the audit log, so a restart
-after a lost executor or driver imports nothing twice. A failing file is
-recorded in ``<store>/failed_imports`` and the batch continues.
+the shared work folder) records which files were handed out; every import
+commits the stream, batch and path it belongs to, and a replayed batch skips
+what it has committed, so a restart after a lost executor or driver imports
+nothing twice. A file that comes again in a later batch is imported again:
+the merge decides row by row. A failing or empty file is recorded in
+``<store>/failed_imports`` and the batch continues.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import os
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,34 +33,48 @@ from ..sources import csv_ingest
 FAILED = "failed_imports"
 
 
-def _already_imported(spark: SparkSession, root: str, digests: set[str]) -> set[str]:
-    """Which of ``digests`` (one batch, at most ``max_files``) the audit log
-    already holds; the filter reaches the scan, only the hits are collected."""
-    if not digests:
+def _below_root(path: str) -> str:
+    """The path without scheme and host, which callers may leave out."""
+    return os.path.abspath(re.sub(r"^\w+:(//[^/]*)?", "", path))
+
+
+def _committed_units(spark: SparkSession, root: str, units: list[str]) -> set[str]:
+    """Which of ``units`` (one batch, at most ``max_files``) are committed;
+    only the hits are collected."""
+    if not units:
         return set()
-    log = M.import_batches(spark, root)
-    return {r.sha256 for r in log.filter(log.sha256.isin(sorted(digests))).select("sha256").distinct().collect()}
+    done = set()
+    for table in S.TABLES.values():
+        marks = store.committed(spark, root, table)
+        done |= {r.note for r in marks.filter(marks.note.isin(units)).collect()}
+    return done
+
 
+def import_batch(spark: SparkSession, paths: list[str], root: str, gold_root: str | None = None,
+                 batch: str | None = None) -> list[dict]:
+    """Import the given files (one unit each, load order), then refresh gold.
 
-def import_batch(spark: SparkSession, paths: list[str], root: str, gold_root: str | None = None) -> list[dict]:
-    """Import the given files (one unit each, load order), then refresh gold."""
+    With a ``batch`` name, files that the same batch has committed before are skipped."""
     if not paths:
         return []
     exact = [csv_ingest.literal(p) for p in paths]
     audit = {r.file_path: r.dataset for r in csv_ingest.header_audit(spark, exact).collect()}
-    digests = {r.source_file: r.sha256 for r in csv_ingest.checksums(spark, exact).collect()}
-    done = _already_imported(spark, root, {d for d in digests.values() if d})
+    seen = {_below_root(p) for p in audit}  # a file without a byte is not read, so it has no header
+    empty = [p for p in paths if _below_root(p) not in seen]
+    unit = {p: f"{batch} {p}" if batch is not None else "" for p in audit}
+    done = _committed_units(spark, root, [u for u in unit.values() if u])
     results, failures = [], []
     for ds in S.LOAD_ORDER:
         for path in sorted(p for p, d in audit.items() if d == ds):
-            if digests.get(path.rsplit("/", 1)[-1]) in done:
+            if unit[path] in done:
                 continue
             try:
-                results.append(M.import_file(spark, root, csv_ingest.literal(path), ds))
+                results.append(M.import_file(spark, root, csv_ingest.literal(path), ds, unit=unit[path]))
             except ValueError as exc:
                 failures.append((path, ds, str(exc), dt.datetime.now(dt.timezone.utc)))
     unknown = [(p, None, "Not a complete export.", dt.datetime.now(dt.timezone.utc))
                for p, d in audit.items() if d is None]
+    unknown += [(p, None, "The file is empty.", dt.datetime.now(dt.timezone.utc)) for p in sorted(empty)]
     if failures or unknown:
         spark.createDataFrame(failures + unknown, "path string, dataset string, error string, at timestamp") \
             .write.mode("append").parquet(f"{root}/{FAILED}")
@@ -72,6 +90,7 @@ def start(spark: SparkSession, drop_folder: str, root: str, *, gold_root: str |
           interval: str = "1 minute") -> StreamingQuery:
     """Start the import stream. ``available_now`` processes what is there and
     stops (scheduled runs); otherwise it polls every ``interval``."""
+    checkpoint = checkpoint or scratch_path(spark, "import-stream")
     files = (spark.readStream.format("binaryFile")
              .schema("path string, modificationTime timestamp, length long, content binary")
              .option("pathGlobFilter", "*.csv")
@@ -81,10 +100,10 @@ def start(spark: SparkSession, drop_folder: str, root: str, *, gold_root: str |
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
         paths = [r.path for r in batch.collect()]  # at most max_files rows
-        import_batch(batch.sparkSession, paths, root, gold_root)
+        import_batch(batch.sparkSession, paths, root, gold_root, batch=f"{checkpoint} {epoch_id}")
 
     writer = (files.writeStream.foreachBatch(each_batch)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "import-stream")))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
 
@@ -92,6 +111,9 @@ def start(spark: SparkSession, drop_folder: str, root: str, *, gold_root: str |
 def failed_imports(spark: SparkSession, root: str) -> DataFrame:
     try:
         return spark.read.parquet(f"{root}/{FAILED}")
-    except AnalysisException:  # none recorded yet
+    except AnalysisException as exc:
+        if not store.missing(exc):
+            raise
+        # none recorded yet
         return spark.createDataFrame([], "path string, dataset string, error string, at timestamp")
 
