@@ -11,8 +11,8 @@ Conventions of every operator:
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -152,17 +152,25 @@ def running_before(df: DataFrame, group: list[str], bucket: str, order: list[Col
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever the driver found it."""
+    """Make this package importable in Python workers, wherever the driver found it.
+
+    The archive lies in the shared folder, so no task depends on a folder of the driver's.
+    """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="llm-ship-"), f"{os.path.basename(package)}.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, files in os.walk(package):
             for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(path)
+    target = f"{scratch_path(spark, os.path.basename(package))}.zip"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    stream.write(packed.getvalue())
+    stream.close()
+    spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)

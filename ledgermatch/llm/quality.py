@@ -10,7 +10,8 @@ their Cholesky factors. A score is the difference of the two Mahalanobis log-den
 
 Defined cases: NULL and empty texts have the statistics of an empty text (all counts 0);
 any other column is never read; NULL or other labels than 0 and 1 are not learned from;
-without rows of both classes ``fit`` raises ``ValueError``.
+without two labelled rows of each class (an empty table, say) nothing is learned and every
+text scores 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgermatch.llm.common import carry, cut, ship
 
@@ -103,8 +105,7 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "statistics")
             values = pa.array([statistics(t) for t in b.column(text).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], values], [*rest, out])
 
-    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest], f"`{out}` array<double>"])
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(work, T.StructType([*[df.schema[c] for c in rest], T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def fit(labelled: DataFrame, *, statistics: str = "statistics", label: str = "label", shrink: float = 0.1,
@@ -138,7 +139,8 @@ def fit(labelled: DataFrame, *, statistics: str = "statistics", label: str = "la
         table[r["k"], r["i"]] = r["v"]
     n = table[:, 0]
     if n.min() < 2:
-        raise ValueError("both classes need at least two labelled rows")
+        zeros, same = np.zeros(d), np.eye(d)
+        return Model(zeros, np.ones(d), (zeros, zeros), (same, same), (0.0, 0.0), temper)
 
     def moments(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mean = t[1:1 + d] / t[0]
@@ -170,9 +172,8 @@ def score(df: DataFrame, model: Model, *, statistics: str = "statistics", out: s
             s = model.score(x) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(s, pa.float64())], [*rest, out])
 
-    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest], f"`{out}` double"])
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(work, T.StructType([*[df.schema[c] for c in rest], T.StructField(out, T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):

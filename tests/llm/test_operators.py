@@ -73,8 +73,26 @@ def test_quality_learns_and_scores_odd_texts(spark):
     assert np.allclose(model.centre, x.mean(axis=0))
     kept = quality.keep_good(documents(spark, texts), labels)
     assert {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s >= 0.3}
-    with pytest.raises(ValueError):
-        quality.fit(measured.limit(0).withColumn("label", F.lit(1)))
+
+
+def test_quality_learns_nothing_without_both_classes(spark):
+    docs = documents(spark, ODD)
+    labels = "doc_id long, quality int"
+    for marks in ([], [(3, 1), (4, 1), (6, 1)], [(None, 0), (3, None), (5, 7)]):
+        measured = common.cut(quality.with_statistics(docs.select("doc_id", "text")), "t")
+        model = quality.learn(measured, spark.createDataFrame(marks, labels))
+        assert [r.score for r in quality.score(measured, model).collect()] == [0.5] * len(ODD)
+        assert quality.keep_good(docs, spark.createDataFrame(marks, labels)).count() == len(ODD)
+    assert quality.keep_good(documents(spark, []), spark.createDataFrame([(3, 1)], labels)).count() == 0
+
+
+def test_quality_carries_columns_of_any_type(spark):
+    docs = documents(spark, ODD).withColumns({
+        "nested": F.struct(F.col("doc_id").alias("odd name"), F.lit(1.5).alias("b`c")), "statistics": F.lit("own"),
+        "score": F.array(F.lit(None).cast("date")), "many": F.create_map(F.lit("k"), F.lit(1))})
+    kept = quality.keep_good(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
 
 
 # --- 3 exact dedup ---------------------------------------------------------------------------
@@ -305,3 +323,16 @@ def test_empty_and_repeated_rows(spark):
         assert near_dedup.near_copies(df).count() == rows
         assert exact_dedup.drop_copies(df).count() == min(rows, 1)
         assert near_dedup.drop_near_copies(df).count() == min(rows, 1)
+        assert license_scan.scan(df.withColumn("path", F.lit(None).cast("string"))).count() == rows
+
+
+def test_empty_tables_of_pages_and_conversations(spark):
+    rules = url_filters.rule_frame(spark, registry.URL_RULES)
+    assert url_filters.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+    by = {"tokenizer": registry.tokenizer_path("byte_bpe_50k.tiktoken"), "pattern": registry.token_pattern()}
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    tree = chat_format.format_tree(empty, **by)
+    assert tree.nodes.count() == 0 and chat_format.read_back(tree, **by).count() == 0
+    assert mixing.mixed_documents(documents(spark, [])).count() == 0
+    assert mixing.mixed_documents(documents(spark, [None, "", " "])).count() == 0
+    assert fingerprints.fingerprint(documents(spark, [])).count() == 0
