@@ -577,7 +577,7 @@ def _batch_load(spark, sf_dir):
         parts.append(rows.agg(
             F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("rows"),
             F.count_distinct("zoho_record_id").alias("record_ids"), F.min("created_on").alias("first"),
-            F.max("created_on").alias("last"), F.sum(S.AMOUNT_FIELD[ds]).cast("decimal(38,6)").alias("amounts")))
+            F.max("created_on").alias("last"), F.sum(S.AMOUNT_FIELD[ds]).cast(S.MONEY).alias("amounts")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -715,6 +715,11 @@ def _e1(led):
     return E.review_candidates(R.backend_reconciliation(led))
 
 
+@register("protected_candidates")
+def _e1_protected(led):
+    return E.review_candidates(R.backend_reconciliation(led), protect=True)
+
+
 @register_raw("review_summary")
 def _e2(spark, sf_dir):
     led = ledgers(spark, sf_dir)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..plans.joins import written
 from ..sinks import store
 from ..sources import csv_ingest
 
@@ -78,15 +79,15 @@ def upsert(existing: DataFrame, newest: DataFrame, imported_at: Column | None =
            key: str = "zoho_record_id", max_broadcast_bytes: int = BROADCAST_INCOMING_BYTES) -> DataFrame:
     """Merged table rows plus a boolean ``_applied`` per row.
 
-    Small incoming side (cached, its payload measured in the job that fills the
-    cache): existing LEFT JOIN broadcast(newest)
+    Small incoming side (written once to the shared folder and its payload
+    measured there): existing LEFT JOIN broadcast(newest)
     decides replaced rows while streaming the table once; new ids come from a
     semi/anti join of bounded size. Above the bound: full outer join on the id."""
     now = imported_at if imported_at is not None else F.current_timestamp()
     cols = [c for c in existing.columns if c != key]
     ts_type = existing.schema["imported_at"].dataType
     e = existing.select(key, *[F.col(c).alias(f"e_{c}") for c in cols], F.lit(True).alias("_e"))
-    newest = newest.cache()
+    newest = written(newest, "incoming")
     if (newest.agg(payload_bytes(newest).alias("b")).first().b or 0) > max_broadcast_bytes:
         n = newest.select(key, *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(True).alias("_n"))
         applied, out = _decide(cols, key, now, ts_type)

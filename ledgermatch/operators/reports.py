@@ -72,7 +72,7 @@ def coverage_notes(led: Ledgers) -> DataFrame:
     lands in 'within')."""
     r = wallet_swap_review(led).filter(F.col("reconciliation_status") == C.NO_SWAP)
     b = observed_bounds(led.swap_transactions).withColumnRenamed("country", "_b_country")
-    j = join_small(r, b, r.country == b._b_country, "left")
+    j = join_small(r, b, F.col("country") == F.col("_b_country"), "left")
     note = (F.when(F.col("wallet_created_on") > F.col("observed_last_swap"), "after_swap_export_max_created_on")
             .when(F.col("wallet_created_on") < F.col("observed_first_swap"), "before_swap_export_min_created_on")
             .when(F.col("observed_first_swap").isNull(), "no_swap_data_loaded")
@@ -133,7 +133,7 @@ def in_span_candidates(led: Ledgers) -> DataFrame:
     cr = customer_review(led).filter(F.col("reconciliation_status") == C.NO_SWAP)
     b = (led.swap_transactions.groupBy(F.col("country").alias("_b_country"))
          .agg(F.max("created_on").alias("_last_swap")))
-    j = join_small(cr, b, cr.country == b._b_country, "inner")
+    j = join_small(cr, b, F.col("country") == F.col("_b_country"), "inner")
     return (j.filter(F.col("wallet_created_on") <= F.col("_last_swap"))
             .select("country", "wallet_record_id", "transaction_id", "wallet_reference", "wallet_code",
                     "wallet_customer_id", "wallet_customer_reference", "wallet_customer_name", "wallet_amount",

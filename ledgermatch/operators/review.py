@@ -208,7 +208,7 @@ def backend_reconciliation(led: Ledgers, bounds_from: DataFrame | None = None) -
     r = customer_review(led)
     swaps = bounds_from if bounds_from is not None else led.swap_transactions
     bounds = observed_bounds(swaps).withColumnRenamed("country", "_b_country")
-    j = join_small(r, bounds, r.country == bounds._b_country, "left")
+    j = join_small(r, bounds, F.col("country") == F.col("_b_country"), "left")
     reasons = rules.review_reasons(
         F.col("reconciliation_status"), F.col("payment_method_needs_review"),
         F.col("customer_mapping_status"), F.col("successful_swap_count"),

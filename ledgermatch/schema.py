@@ -83,7 +83,7 @@ AMOUNT_FIELD = {"wallet": "amount", "swap": "swap_amount", "wallet_master": "ava
 # --- end of fixed values -------------------------------------------------
 
 # Exact money: wide enough for 22 integer digits, 6 fractional digits.
-MONEY = T.DecimalType(28, 6)
+MONEY = T.DecimalType(38, 12)
 PROVENANCE = ["source_file", "source_row_number", "raw_record", "imported_at"]
 
 _KIND_TYPES = {
@@ -132,7 +132,7 @@ SCALE_SUFFIX = "_scale"
 
 def scale_columns(dataset: str) -> list[str]:
     """Written scale (fractional digits as exported) of each decimal column:
-    values are exact DECIMAL(28,6); the scale keeps ``120.10`` printing as
+    values are exact DECIMAL(38,12); the scale keeps ``120.10`` printing as
     ``120.10``."""
     kinds = kind_of(dataset)
     return [c + SCALE_SUFFIX for c in TABLE_COLUMNS[dataset] if kinds[c] == "decimal"]

@@ -27,6 +27,7 @@ from .. import config as C
 from ..functions import rules
 from ..operators import counterparts as G
 from ..operators import query as Q
+from ..plans.joins import written
 from . import store
 
 # --- fixed values: exported field list of the review candidates report ------
@@ -39,6 +40,15 @@ REVIEW_EXPORT_FIELDS = (
     "successful_swap_created_on", "swap_references", "successful_payment_methods",
     "customer_mapping_status", "swap_customer_lookup_check", "source_coverage_status",
 )
+#: What a reader of the missing-counterpart summary must know.
+MISSING_NOTES = {
+    "matching_rule": "Same country and same Transaction ID, neither blank. Every source Record Id is one row.",
+    "wallet_scope": "Wallet transactions that are committed debits settled against a swap.",
+    "swap_scope": "Every loaded swap, whatever its status and payment method.",
+    "date_filter_rule": "Each group is filtered by its own creation time. Counterparts count on any loaded date.",
+    "note": "Missing here means missing from the loaded exports, which does not prove that the source has no record. "
+            "Rows without an identifier have a label of their own. A swap paid by other means may rightly have no debit.",
+}
 REVIEW_NOTE = ("Review candidates require investigation. Source coverage and refund eligibility are not "
                "verified.")
 # --- end of fixed values -----------------------------------------------------
@@ -105,11 +115,14 @@ def capped(df: DataFrame, cap: int | None = None) -> DataFrame:
     return df
 
 
-def review_candidates(recon: DataFrame, filters: Q.ReconciliationFilter | None = None) -> DataFrame:
-    """E1 rows: needs-review debits, fixed fields, record-id order, unprotected text."""
+def review_candidates(recon: DataFrame, filters: Q.ReconciliationFilter | None = None, *,
+                      protect: bool = False, cap: int | None = None) -> DataFrame:
+    """E1 rows: needs-review debits, fixed fields, record-id order.
+
+    The interactive form protects text cells and may set a ``cap``."""
     r = Q.filtered(recon, filters).filter(F.col("needs_review"))
     scales = [c for c in ("wallet_amount_scale", "successful_swap_amount_scale") if c in r.columns]
-    return as_text(r.select(*REVIEW_EXPORT_FIELDS, *scales)).orderBy("wallet_record_id")
+    return as_text(capped(r.select(*REVIEW_EXPORT_FIELDS, *scales), cap), protect).orderBy("wallet_record_id")
 
 
 def with_mark(df: DataFrame) -> DataFrame:
@@ -142,11 +155,11 @@ def write_review_report(spark: SparkSession, recon: DataFrame, root: str,
     summary = Q.summary(recon, filters)
     # the candidates are counted by their own write; the check runs before
     # the commit marker, so a disagreeing export is never published
-    written = Observation("candidates")
-    candidates = review_candidates(recon, filters).observe(written, F.count(F.lit(1)).alias("rows"))
+    counted = Observation("candidates")
+    candidates = review_candidates(recon, filters).observe(counted, F.count(F.lit(1)).alias("rows"))
 
     def checked_summary() -> dict:
-        count = written.get["rows"]
+        count = counted.get["rows"]
         if count != summary["needs_review_count"]:
             raise RuntimeError(f"{count} exported candidates: the count does not agree with the summary's.")
         summary.update(generated_at_utc=dt.datetime.now(dt.timezone.utc).isoformat(), candidate_count=count,
@@ -176,13 +189,15 @@ def write_missing_reports(spark: SparkSession, led, root: str,
     filters = filters or Q.ReconciliationFilter()
     parts, stats = {}, None
     for side in (G.WALLET_SIDE, G.SWAP_SIDE):
-        rep = G.report_filter(G.gap_report(led, side), side, filters).cache()
+        rep = written(G.report_filter(G.gap_report(led, side), side, filters, order=None), "gaps")
         s = G.report_statistics(rep, side)
         stats = s if stats is None else stats.unionByName(s)
-        parts[side] = as_text(rep, protect=True)
+        parts[side] = as_text(G.report_filter(rep, side), protect=True)
     summary = {"generated_at_utc": dt.datetime.now(dt.timezone.utc).isoformat(),
                "filters": filters.as_dict(), "source_coverage_status": C.NOT_VERIFIED,
-               "groups": gap_statistics(stats)}
+               **MISSING_NOTES, "groups": gap_statistics(stats)}
+    for side, group in summary["groups"].items():
+        group["file"] = side
     summary["version"] = _publish(spark, root, "missing_counterparts", parts, summary)
     return summary
 

@@ -276,10 +276,9 @@ def _order_key(c: str = "zoho_record_id") -> Column:
 def dirty_overrides() -> dict[str, Column]:
     """Text replacements that make some wallet records invalid (first rule wins).
 
-    k%97 'NaN' amount; k%89 'not-a-number' amount; k%83 seven fractional
-    digits; k%79 a timestamp with an offset; k%73 an impossible date; k%71 a
+    k%97 'NaN' amount; k%89 'not-a-number' amount; k%79 a timestamp with an offset; k%73 an impossible date; k%71 a
     partial timestamp in Modified Time; k%61 a blank record id. Valid but
-    unusual: k%7 ' 1e2 ' amount, k%5 a leading '+' on the amount."""
+    unusual: k%83 seven fractional digits (first), k%7 ' 1e2 ' amount, k%5 a leading '+' on the amount."""
     k = _order_key()
     amount_text = F.col("amount").cast("string")
     amount = (F.when(_m(k, 97), F.lit("NaN"))

@@ -37,8 +37,6 @@ OFFSET_RE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}(
 DECIMAL_RE = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 NON_FINITE_RE = r"(?i)^\s*[+-]?(nan|snan|inf|infinity)\s*$"
 BLANK_RE = r"(?U)^\s*$"
-MAX_INT_DIGITS = 22
-MAX_FRAC_DIGITS = 6
 CORRUPT = "_corrupt_record"
 # --- end of fixed values --------------------------------------------------
 
@@ -130,13 +128,13 @@ def _parse(raw: Column, kind: str, field: str) -> tuple[Column, Column]:
     if kind == "decimal":
         t = F.trim(v)
         mantissa = F.regexp_replace(F.regexp_replace(t, r"^[+-]", ""), r"[eE].*$", "")
-        int_digits = F.length(F.regexp_replace(F.regexp_extract(mantissa, r"^(\d*)", 1), r"^0+", ""))
+        digits = F.replace(mantissa, F.lit("."), F.lit(""))
+        zeros = F.length(digits) - F.length(F.regexp_replace(digits, "0+$", ""))
         frac_digits = F.length(F.regexp_extract(mantissa, r"\.(\d*)$", 1))
-        has_exp = t.rlike("[eE]")
+        exponent = F.coalesce(F.regexp_extract(t, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
         cast = t.try_cast(S.MONEY)
-        # exponent forms: exact only if a wider cast agrees (no silent rounding)
-        exact = F.when(has_exp, cast == t.try_cast(T.DecimalType(38, 12))).otherwise(
-            (int_digits <= MAX_INT_DIGITS) & (frac_digits <= MAX_FRAC_DIGITS))
+        # no silent rounding: the last digit that counts lies within the type's fraction
+        exact = (zeros == F.length(digits)) | (frac_digits - exponent - zeros <= S.MONEY.scale)
         ok = v.rlike(DECIMAL_RE) & cast.isNotNull() & F.coalesce(exact, F.lit(False))
         err = (F.when(v.isNull(), none)
                .when(v.rlike(NON_FINITE_RE), F.lit(f"Non-finite decimal in {field}"))

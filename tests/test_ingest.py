@@ -61,7 +61,7 @@ def test_detection_pin_removal_and_quoting(spark, folder):
 
 def test_bad_values_are_rejected_with_record_and_field(spark, folder):
     rows = [dict(MASTER, **{"Record Id": f"w{i}", "Available Balance": bal})
-            for i, bal in enumerate(["NaN", "not-a-number", "1.5", "Infinity", "1.1234567"])]
+            for i, bal in enumerate(["NaN", "not-a-number", "1.5", "Infinity", "1.1234567890123"])]
     rows.append(dict(MASTER, **{"Record Id": "w9", "Created On": "2026-09-23T12:00:00+03:00"}))
     rows.append(dict(MASTER, **{"Record Id": "  "}))
     path = write_csv(folder, "bad.csv", "wallet_master", rows)
@@ -76,6 +76,18 @@ def test_bad_values_are_rejected_with_record_and_field(spark, folder):
     }
 
 
+def test_decimals_of_many_digits_are_exact(spark, folder):
+    texts = {"1.1234567": "1.1234567", "12345678901234567890123456.000000000001": "12345678901234567890123456.000000000001",
+             "0.5000000000000000": "0.5", "-25e-10": "-0.0000000025", "1200e-14": "0.000000000012", "1.5e20": "150000000000000000000",
+             "+.25": "0.25", "0.00000000000000": "0", "0e-40": "0"}
+    rows = [dict(MASTER, **{"Record Id": f"w{i}", "Available Balance": t}) for i, t in enumerate(texts)]
+    rows += [dict(MASTER, **{"Record Id": f"x{i}", "Available Balance": t}) for i, t in enumerate(["1e-13", "1e26", "12.e", "."])]
+    res = I.ingest(spark, write_csv(folder, "wide.csv", "wallet_master", rows))["wallet_master"]
+    got = {r.zoho_record_id: r.available_balance for r in res.rows.collect()}
+    assert got == {f"w{i}": Decimal(v) for i, v in enumerate(texts.values())}
+    assert res.rejects.count() == 4
+
+
 def test_wrong_field_count_and_incomplete_headers(spark, folder):
     path = write_csv(folder, "w.csv", "wallet", [WALLET])
     with open(path, "a", encoding="utf-8") as f:

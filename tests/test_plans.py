@@ -40,7 +40,7 @@ def test_review_core_exchanges_both_join_sides_and_has_no_window(led, no_auto_br
 
 def test_bounds_join_is_a_checked_broadcast(led):
     text = plan_text(R.backend_reconciliation(led))
-    assert "BroadcastExchange" in text and "InMemoryRelation" in text
+    assert "BroadcastExchange" in text and "InMemoryRelation" not in text and "/side-" in text
 
 
 def test_gap_reports_use_anti_join_on_distinct_keys(led):
