@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -182,6 +184,78 @@ def test_licence_headers_files_and_inheritance(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def wrapped(text, width, mark):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_licences_of_wrapped_headers(spark):
+    notices = {
+        "mit": ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+                "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+                "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
+        "bsd": ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                "provided that the following conditions are met: 1. Redistributions of source code must retain the above notice."),
+        "cc": ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        "cc-by": ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.")}
+    for licence, kind, version in (("GPL-3.0", "", "3"), ("GPL-2.0", "", "2"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")):
+        notices[licence] = (licence, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                            f"{kind}General Public License as published by the Free Software Foundation, either version {version} of "
+                            "the License, or (at your option) any later version. This program is distributed in the hope that it will "
+                            "be useful, but WITHOUT ANY WARRANTY.")
+    code = "\n".join(f"def f{i}(a):\n    return a + {prose(i, 6)}" for i in range(200))
+    files = [(f"{width}/{mark.strip()}/{name}", "\n".join([f"{mark}Copyright (c) 2020 A. Person", wrapped(text, width, mark), code]))
+             for name, (_, text) in notices.items() for width in (40, 55, 72) for mark in ("# ", " * ", "")]
+    files += [(f"plain/{i}", f"{prose(i, 50)}\n{prose(i + 1, 60)}") for i in range(300)]
+    got = {r.path: r for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for path, _ in files:
+        want = (None, None) if path.startswith("plain/") else (notices[path.split("/")[-1]][0], "header")
+        assert (got[path].licence, got[path].licence_from) == want, path
+
+
+def test_whole_licence_files_cover_their_directory(spark):
+    texts = dict(license_scan.licence_texts())
+    files = []
+    for licence, text in texts.items():
+        rewrapped = "\n\n".join(textwrap.fill(p, 60) for p in text.split("\n\n"))
+        files += [(f"{licence}/TERMS.md", f"Copyright (c) 2020 A. Person\n\n{rewrapped}"), (f"{licence}/src/a.c", "int main;")]
+    files += [(f"plain/{i}", prose(i, 300)) for i in range(300)]
+    got = {r.path: r for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for licence in texts:
+        assert (got[f"{licence}/TERMS.md"].licence, got[f"{licence}/TERMS.md"].licence_from) == (licence, "file")
+        assert (got[f"{licence}/src/a.c"].licence, got[f"{licence}/src/a.c"].licence_path) == (licence, f"{licence}/TERMS.md")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_licence_runs_match_brute_force(spark, seed):
+    r = random.Random(seed)
+    notices = [("A", "Alpha beta gamma delta epsilon."), ("B", "Beta zeta eta, theta iota kappa lambda.")]
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split() + ["x", "y", "z"]
+    split = [[[r.choice(words) for _ in range(r.randrange(1, 4))] for _ in range(r.randrange(1, 9))] for _ in range(150)]
+    texts = ["\n".join(" ".join(p) for p in ps) for ps in split]
+    n = sum(map(len, split))
+    idf = {w: math.log((1 + n) / (1 + sum(w in p for ps in split for p in ps))) + 1 for w in words}
+    vectors = [(lic, {w: idf[w] for w in text.lower().replace(",", "").rstrip(".").split()}) for lic, text in notices]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "row_id string, text string")
+    got = {x.row_id: (x.whole_matches, x.licence, round(x.cosine, 6)) for x in license_scan.scores(rows, notices, 0.75).collect()}
+    unseen = math.log(1 + n) + 1
+    want = {}
+    for i, ps in enumerate(split):
+        found = []
+        for a in range(len(ps)):
+            for b in range(a + 1, len(ps) + 1):
+                unit = [w for p in ps[a:b] for w in p]
+                for whole in ([False] if b == a + 1 or len(unit) <= 14 else []) + [True] * (b - a == len(ps)):
+                    u = {w: unit.count(w) * (idf[w] if any(w in v for _, v in vectors) else unseen) for w in set(unit)}
+                    for lic, v in vectors:
+                        c = sum(u[w] * v[w] for w in u if w in v) / math.hypot(*u.values()) / math.hypot(*v.values())
+                        if c >= 0.75:
+                            found.append((not whole, -round(c, 9), lic))
+        if found:
+            part, c, lic = min(found)
+            want[str(i)] = (not part, lic, round(-c, 6))
+    assert got == want and len(want) > 10
+
+
 # --- 7 chat --------------------------------------------------------------------------------
 
 def test_chat_round_trip_and_sharing(spark):
