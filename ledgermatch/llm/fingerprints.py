@@ -4,9 +4,9 @@ A text is cut, without loss, into sections (up to eight lines; blank lines end o
 into paragraphs (a line with the line breaks after it). A paragraph's digest is the SHA-256
 of its text, a section's that of its paragraphs' digests, the root that of the sections'.
 Equal roots mean equal texts; where roots differ, only differing sections are opened, and
-their differing paragraphs locate the edit (``changed``). Below the paragraphs lie blocks of
-``BLOCK_WORDS`` words, whose 32-bit hashes give the likeness of two texts: the Dice
-coefficient of their sets of blocks.
+their differing paragraphs locate the edit (``changed``). Beside the tree, blocks of
+``BLOCK_WORDS`` words, cut from the whole text, give by their 32-bit hashes the likeness of two
+texts: the Dice coefficient of their sets of blocks.
 
 Defined cases: NULL counts as empty; an empty text has no sections and its own root; two
 texts without blocks have likeness 1, one with and one without 0; an empty table gives an
