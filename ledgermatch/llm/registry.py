@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermatch.llm import (chat_format, exact_dedup, fingerprints, license_scan, mixing, near_dedup, packing, quality,
-                             sharding, url_filters)
+from ledgermatch.llm import (bpe, chat_format, exact_dedup, fingerprints, license_scan, manifest, mixing, near_dedup, packing,
+                             quality, sharding, structure_repair, url_filters)
 from ledgermatch.llm.common import cut, pick
 
 #: Rules of the URL query: verdict, host, path.
@@ -97,6 +99,34 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    coded = bpe.encode(pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"), tokenizer=path, keep_text=False)
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), "ids")
+    back = bpe.decode(coded, tokenizer=path)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = structure_repair.damage(table(spark, sf_dir, "conversations"))
+    out = structure_repair.repair(broken, present="present")
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.withColumn("repaired_sha256", F.sha2(lines, 256)).drop("repaired")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", source="source", lang="lang", n_chars="n_chars", text="text")
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    changed = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaf = manifest.leaf_digest("doc_id", "source", "lang", "n_chars", "text")
+    leaves = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(
+        changed, manifest.leaf_digest("doc_id", "source", "lang", "n_chars", lowered)).otherwise(leaf).alias("claimed"))
+    out = manifest.prove(leaves, key="doc_id", group="lang", leaf="leaf", claimed="claimed")
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+                      "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +135,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_quality_classifier, op3_exact_dedup, op4_mixing, op5_sharding, op6_license_scan, op7_chat_format,
-    op8_fingerprints, op9_packing, op10_near_dedup, pipeline)}
+    op8_fingerprints, op9_packing, op10_near_dedup, op11_bpe,
+    op12_structure_repair, op13_manifest, pipeline)}
 
 _URL_VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
