@@ -16,6 +16,7 @@ import os
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ SPACES = " \t\n\x0b\f\r"
 BUCKET_ROWS = 4096
 
 _SHIPPED: set[str] = set()
-_WRITTEN: list[str] = []
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def find(df: DataFrame, name: str) -> int:
@@ -74,21 +75,22 @@ def carry(df: DataFrame, **cols: str) -> tuple[DataFrame, Callable[[DataFrame, l
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, rows are fixed."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    _WRITTEN.append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def cuts_made() -> Iterator[list[str]]:
-    """The list fills with the folders that ``cut`` writes inside the block."""
+    """The list fills with the folders that ``cut`` writes inside the block (in this thread)."""
     made: list[str] = []
-    first = len(_WRITTEN)
+    token = _MADE.set(made)
     try:
         yield made
     finally:
-        made.extend(_WRITTEN[first:])
-        del _WRITTEN[first:]
+        _MADE.reset(token)
 
 
 def discard(spark: SparkSession, folders: list[str]) -> None:

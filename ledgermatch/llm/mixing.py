@@ -24,8 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermatch.llm.common import (BUCKET_ROWS, carry, cut, find, pick, running_before, shuffle_key, split_join,
-                                    text_or_empty, unit_interval, with_row_id, word_count)
+from ledgermatch.llm.common import (BUCKET_ROWS, carry, cut, pick, running_before, shuffle_key, split_join, text_or_empty,
+                                    unit_interval, with_row_id, word_count)
 
 SEED = "mix"
 #: The schedule's grid is split into at most so many cells to look up a point's source.
@@ -136,29 +136,21 @@ def taken(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def first_words(text, count):
-    """The text up to and with its first ``count`` words."""
-    parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.array_join(F.slice(parts, F.lit(1), count.cast("int")), "")
+def mixed_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **params) -> DataFrame:
+    """The input's columns in training order; one row per document and pass through its source that takes it.
 
-
-def mixed_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-                    n_chars: str | None = "n_chars", **params) -> DataFrame:
-    """The input's columns; one row per document and pass through its source that takes it.
-
-    A document that its source's target cuts ends at the last word taken.
+    Documents stay whole: the one in which a source's target ends is taken if at least half of it
+    lies before the target, else left. Rows are range-partitioned and sorted by the slot that a
+    document's first word has in the schedule, so any stretch of them has nearly the mix's shares.
     """
     frame, restore = carry(df, doc_id=doc_id, text=text, source=source)
     rows = with_row_id(frame, "mix-rows")
     docs = sized(rows)
     _, pieces = mix(docs, **params)
-    takes = pieces.groupBy("row_id", "epoch").agg(F.sum("length").alias("words")).join(
-        docs.select("row_id", "size"), "row_id")
-    out = rows.join(takes, "row_id")
-    whole = F.col("words") >= F.col("size")
-    at = f"__c{find(df, text)}"
-    out = out.withColumn(at, F.when(whole, F.col(at)).otherwise(first_words(F.col(at), F.col("words"))))
-    if n_chars and n_chars.lower() in (c.lower() for c in df.columns):
-        chars = f"__c{find(df, n_chars)}"
-        out = out.withColumn(chars, F.when(whole, F.col(chars)).otherwise(F.length(at)))
+    takes = pieces.groupBy("row_id", "epoch").agg(F.sum("length").alias("words"), F.min("slot").alias("__slot"))
+    takes = takes.join(docs.select("row_id", "size"), "row_id").where("2 * words >= size")
+    # the first word's slot; documents that begin in one slot keep the order of their source's stream
+    first = takes.select("row_id", "__slot", "epoch")
+    order = [F.col("__slot"), F.col("epoch"), F.col("row_id")]
+    out = rows.join(cut(first, "mix-takes"), "row_id").repartitionByRange(*order).sortWithinPartitions(*order)
     return restore(out, [])

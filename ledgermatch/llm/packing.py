@@ -8,6 +8,10 @@ the multiples of ``length``, so a window's border falls wherever it falls: a doc
 it leaves a boundary piece on both sides. Nothing is shuffled and no task sees more than its
 partition. Only the last sequence needs padding.
 
+The order of the documents is that of the partitions, or, with ``file_order``, that of the files
+they are read from (by name) and of the rows there: a mix that was written in training order is
+packed in that order, however its files are dealt to tasks. A task's rows of one file are a part then.
+
 A tokeniser that lower-cases, drops white space and never joins across it (read from its
 file) is run once per distinct word, from a bounded cache; ids are those of whole texts. Strings of
 added tokens in a text get these tokens' ids, as the tokeniser gives them by default.
@@ -31,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermatch.llm.common import cut, pick, ship
+from ledgermatch.llm.common import cut, find, pick, ship
 
 #: Words kept with their ids by each Python worker.
 CACHED_WORDS = 400_000
@@ -122,29 +126,48 @@ def _encoder(path: str):
 
 
 def tokenised(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, ids (little-endian), tokens, part, place (tokens before it in the part)."""
+    """(doc_id, text, file, row) -> doc_id, ids (little-endian), tokens, part, place (tokens before it in the part).
+
+    A part is a struct (file, first row, partition) that sorts in the order of the documents.
+    """
     ship(df.sparkSession)
+    spot = pa.struct([("file", pa.string()), ("row", pa.int64()), ("task", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, dtype = _encoder(tokenizer)
-        end, part, before = np.asarray([end_id], dtype).tobytes(), TaskContext.get().partitionId(), 0
+        end, task = np.asarray([end_id], dtype).tobytes(), TaskContext.get().partitionId()
+        part, before = None, 0
         for b in batches:
             ids = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()])]
-            tokens = np.array([len(x) // dtype.itemsize for x in ids], np.int64)
-            place = before + np.cumsum(tokens) - tokens
-            before += int(tokens.sum())
+            parts, places = [], []
+            for x, file, row in zip(ids, b.column("file").to_pylist(), b.column("row").to_pylist(), strict=True):
+                if part is None or part["file"] != file:
+                    part, before = {"file": file, "row": row, "task": task}, 0
+                parts.append(part)
+                places.append(before)
+                before += len(x) // dtype.itemsize
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(tokens), pa.array(np.full(len(ids), part), pa.int32()),
-                 pa.array(place, pa.int64())], ["doc_id", "ids", "tokens", "part", "place"])
+                [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // dtype.itemsize for x in ids], pa.int64()),
+                 pa.array(parts, spot), pa.array(places, pa.int64())], ["doc_id", "ids", "tokens", "part", "place"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return cut(df.mapInArrow(work, f"doc_id {kind}, ids binary, tokens bigint, part int, place bigint"), "tokens")
+    return cut(df.mapInArrow(work, f"doc_id {kind}, ids binary, tokens bigint, part struct<file:string,row:bigint,task:int>, "
+                                   "place bigint"), "tokens")
 
 
 def pack(df: DataFrame, *, tokenizer: str, length: int = 4096, end_id: int = 2, doc_id: str = "doc_id",
-         text: str = "text") -> DataFrame:
-    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    docs = tokenised(pick(df, doc_id=doc_id, text=text), tokenizer, end_id)
+         text: str = "text", file_order: bool = False) -> DataFrame:
+    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+
+    ``file_order`` needs a frame that reads files (and keeps their ``_metadata``).
+    """
+    rows = pick(df, doc_id=doc_id, text=text)
+    if file_order:
+        spots = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+        rows = df.select(F.col(df.columns[find(df, doc_id)]).alias("doc_id"), F.col(df.columns[find(df, text)]).alias("text"), *spots)
+    else:
+        rows = rows.select("*", F.lit("").alias("file"), F.lit(0).cast("long").alias("row"))
+    docs = tokenised(rows, tokenizer, end_id)
     totals = docs.groupBy("part").agg(F.sum("tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "offsets")

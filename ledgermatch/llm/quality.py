@@ -3,15 +3,18 @@
 Every text becomes a short vector of statistics (repetition, duplicate phrases and lines,
 symbols, capitals, word lengths, compressibility, vocabulary growth), each smoothed and
 log-transformed. Training sums (count, sum, sum of products per class) are added up in
-Spark over all labelled rows; from those few numbers the driver makes class means and
+Spark over all labelled rows, first for the mean and then around it, so that no variance is the
+difference of two large numbers; from those few numbers the driver makes class means and
 covariances, shrunk towards the pooled covariance and then towards a scaled identity, and
-their Cholesky factors. A score is the difference of the two Mahalanobis log-densities
+their Cholesky factors. A statistic that is constant over the labelled rows tells nothing and has
+no weight; the identity's share rises until a factor exists. A score is the difference of the two Mahalanobis log-densities
 (plus log priors) through the cached factors, tempered and squashed into (0, 1).
 
 Defined cases: NULL and empty texts have the statistics of an empty text (all counts 0);
 any other column is never read; NULL or other labels than 0 and 1 are not learned from;
 without two labelled rows of each class (an empty table, say) nothing is learned and every
-text scores 0.5; an empty table gives an empty result.
+text scores 0.5; where all labelled texts are equal, the score is the share of class 1 among them
+(tempered); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,17 +79,17 @@ def statistics(text: str | None) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Standardisation, and mean, Cholesky factor, log-determinant and log-prior by class (0, 1)."""
+    """Standardisation (weight 0: not used), and mean, Cholesky factor, log-determinant and log-prior by class (0, 1)."""
 
     centre: np.ndarray
-    scale: np.ndarray
+    weight: np.ndarray
     means: tuple[np.ndarray, np.ndarray]
     factors: tuple[np.ndarray, np.ndarray]
     constants: tuple[float, float]
     temper: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.centre) / self.scale
+        z = (x - self.centre) * self.weight
         log_density = []
         for mean, factor, constant in zip(self.means, self.factors, self.constants, strict=True):
             half = np.linalg.solve(factor, (z - mean).T)
@@ -117,6 +120,37 @@ def fit(labelled: DataFrame, *, statistics: str = "statistics", label: str = "la
     """
     d = len(FEATURES)
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("k"), F.col(statistics).alias("x"))
+    rows = cut(rows, "labelled")  # read twice
+    first = _class_sums(rows, np.zeros(d))
+    n = first[:, 0]
+    if n.min() < 2:
+        zeros, same = np.zeros(d), np.eye(d)
+        return Model(zeros, np.ones(d), (zeros, zeros), (same, same), (0.0, 0.0), temper)
+    centre = first[:, 1:1 + d].sum(axis=0) / n.sum()
+    around = _class_sums(rows, centre)
+
+    def moments(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = t[1:1 + d] / t[0]
+        return mean, t[1 + d:].reshape(d, d) / t[0] - np.outer(mean, mean)
+
+    pooled = moments(around.sum(axis=0))[1]
+    variance = np.diag(pooled)
+    varies = variance > 1e-18 * np.maximum(1.0, centre * centre)
+    weight = np.where(varies, 1.0 / np.sqrt(np.where(varies, variance, 1.0)), 0.0)
+    by = np.outer(weight, weight)
+    means, factors, constants = [], [], []
+    for c in (0, 1):
+        mean, cov = moments(around[c])
+        factor = _factor((1 - shrink) * cov * by + shrink * pooled * by, ridge)
+        means.append(mean * weight)
+        factors.append(factor)
+        constants.append(float(math.log(n[c] / n.sum()) - np.log(np.diag(factor)).sum()))
+    return Model(centre, weight, tuple(means), tuple(factors), tuple(constants), temper)
+
+
+def _class_sums(rows: DataFrame, around: np.ndarray) -> np.ndarray:
+    """By class: count, sums and sums of products of the statistics, less ``around``."""
+    d = len(FEATURES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + d + d * d))
@@ -124,7 +158,7 @@ def fit(labelled: DataFrame, *, statistics: str = "statistics", label: str = "la
             if not b.num_rows:
                 continue
             k = np.asarray(b.column("k"))
-            x = np.asarray(b.column("x").flatten()).reshape(-1, d)
+            x = np.asarray(b.column("x").flatten()).reshape(-1, d) - around
             for c in (0, 1):
                 own = x[k == c]
                 total[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
@@ -132,33 +166,25 @@ def fit(labelled: DataFrame, *, statistics: str = "statistics", label: str = "la
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(at, pa.int32()), pa.array(total.ravel())],
                                          ["k", "i", "v"])
 
-    ship(labelled.sparkSession)
-    got = rows.mapInArrow(sums, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    ship(rows.sparkSession)
     table = np.zeros((2, 1 + d + d * d))
-    for r in got:  # 2 x (1 + d + d * d) numbers, whatever the input
+    got = rows.mapInArrow(sums, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v"))
+    for r in got.collect():  # 2 x (1 + d + d * d) numbers, whatever the input
         table[r["k"], r["i"]] = r["v"]
-    n = table[:, 0]
-    if n.min() < 2:
-        zeros, same = np.zeros(d), np.eye(d)
-        return Model(zeros, np.ones(d), (zeros, zeros), (same, same), (0.0, 0.0), temper)
-
-    def moments(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mean = t[1:1 + d] / t[0]
-        return mean, t[1 + d:].reshape(d, d) / t[0] - np.outer(mean, mean)
-
-    centre, pooled = moments(table.sum(axis=0))
-    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-12))
-    pooled = pooled / np.outer(scale, scale)
-    means, factors, constants = [], [], []
-    for c in (0, 1):
-        mean, cov = moments(table[c])
-        cov = (1 - shrink) * cov / np.outer(scale, scale) + shrink * pooled
-        cov = (1 - ridge) * cov + ridge * np.trace(cov) / d * np.eye(d)
-        factor = np.linalg.cholesky(cov)
-        means.append((mean - centre) / scale)
-        factors.append(factor)
-        constants.append(float(math.log(n[c] / n.sum()) - np.log(np.diag(factor)).sum()))
-    return Model(centre, scale, tuple(means), tuple(factors), tuple(constants), temper)
+    return table
+
+
+def _factor(cov: np.ndarray, ridge: float) -> np.ndarray:
+    """Cholesky factor of the covariance mixed with a scaled identity, whose share rises if need be."""
+    d = len(cov)
+    size = np.trace(cov) / d or 1.0
+    while True:
+        try:
+            return np.linalg.cholesky((1 - ridge) * cov + ridge * size * np.eye(d))
+        except np.linalg.LinAlgError:
+            if ridge >= 1:
+                raise
+            ridge = min(1.0, max(10 * ridge, 1e-6))
 
 
 def score(df: DataFrame, model: Model, *, statistics: str = "statistics", out: str = "score") -> DataFrame:
