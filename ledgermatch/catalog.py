@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -464,30 +464,48 @@ def _ingest_raw(spark, sf_dir):
     return _ingested(spark, sf_dir, "wallet_master", "wallet_master").rows.select("zoho_record_id", "raw_record")
 
 
+def _folder():
+    return F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1).alias("folder")
+
+
 @register_raw("ingest_header_check")
 def _ingest_headers(spark, sf_dir):
+    """What the headers of every export folder say; files of a folder must agree."""
     base = adapter.exports(spark, sf_dir)
     a = I.header_audit(spark, f"{base}/*/*.csv")
-    return a.select("file_name", "dataset", "duplicate_headers", "problem",
-                    F.coalesce(*[F.when(F.col("dataset") == ds, I.missing_headers(F.col("headers"), ds))
-                                 for ds in I.S.FIELD_MAPS]).alias("missing_headers"))
+    missing = F.concat_ws("|", I.missing_headers(F.col("headers"), "wallet"))
+    return a.select(_folder(), F.size("headers").cast("long").alias("columns"), "duplicate_headers",
+                    F.col("problem").isNotNull().alias("refused"), missing.alias("missing_for_wallet")).distinct()
 
 
 @register_raw("ingest_detect")
 def _ingest_detect(spark, sf_dir):
     base = adapter.exports(spark, sf_dir)
-    return I.header_audit(spark, f"{base}/*/*.csv").select("file_name", "candidate_datasets", "dataset")
+    a = I.header_audit(spark, f"{base}/*/*.csv")
+    return a.select(_folder(), "candidate_datasets", "dataset").distinct()
+
+
+def _export_order(rows: DataFrame) -> DataFrame:
+    """Adds ``export_record``: a file's record numbers follow those of the files before it, as the export
+    is in order; ``gapless`` says that the file's numbers have no hole."""
+    sizes = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.max("source_row_number").alias("last"))
+    before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    sizes = sizes.select("source_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"),
+                         (F.col("n") == F.col("last")).alias("gapless"))
+    return rows.join(sizes, "source_file").withColumn("export_record", F.col("_before") + F.col("source_row_number")).drop("_before")
 
 
 @register_raw("ingest_provenance")
 def _ingest_provenance(spark, sf_dir):
-    return _ingested(spark, sf_dir, "wallet", "wallet").rows.select("zoho_record_id", "source_file",
-                                                                    "source_row_number")
+    rows = _ingested(spark, sf_dir, "wallet", "wallet").rows.select("zoho_record_id", "source_file", "source_row_number")
+    return _export_order(rows).select("zoho_record_id", "export_record", "gapless")
 
 
 @register_raw("ingest_checksum")
 def _ingest_checksum(spark, sf_dir):
-    return I.checksums(spark, f"{adapter.exports(spark, sf_dir)}/*/*.csv")
+    """Digest and length of the file of every nation's wallets."""
+    sums = I.checksums(spark, f"{adapter.exports(spark, sf_dir)}/master_by_country/*/*.csv")
+    return sums.select(F.regexp_extract("file_path", r"folder=([^/]+)/", 1).alias("country"), "sha256", "bytes")
 
 
 def _profile(dataset, folder):
@@ -510,8 +528,9 @@ register_raw("profile_wallet_master")(_profile("wallet_master", "wallet_master")
 
 @register_raw("validate_preview")
 def _preview(spark, sf_dir):
-    counts, _, _ = I.validate_preview(_ingested(spark, sf_dir, "swap", "swap").rows, "swap", ADAPTER_COUNTRIES)
-    return counts.drop("first_bad_country_record")
+    rows = _export_order(_ingested(spark, sf_dir, "swap", "swap").rows).withColumn("source_row_number", F.col("export_record"))
+    counts, _, _ = I.validate_preview(rows, "swap", ADAPTER_COUNTRIES)
+    return counts
 
 
 @register_raw("validate_preview_countries")
@@ -556,7 +575,9 @@ def _loaded_store(spark, sf_dir) -> str:
     if key not in _LOADED:
         base = adapter.exports(spark, sf_dir)
         root = scratch_path(spark, "store")
+        # the wallet export and a later one with revised records: two files of one merge
         files = {ds: [f"{base}/{ds}/*.csv"] for ds in ("wallet_master", "wallet", "swap")}
+        files["wallet"].append(f"{base}/late_wallet/*.csv")
         M.batch_load(spark, root, files)
         _LOADED[key] = root
     return _LOADED[key]
@@ -567,6 +588,13 @@ def _loaded_store(spark, sf_dir) -> str:
 AUDIT_COLS = ["batch_id", "dataset", "rows_read", "rows_applied", "min_created_on", "max_created_on"]
 
 
+@register_raw("dry_run_profiles")
+def _dry_run(spark, sf_dir):
+    base = adapter.exports(spark, sf_dir)
+    out = M.dry_run(spark, {"swap": [f"{base}/swap/*.csv"], "wallet": [f"{base}/late_wallet/*.csv", f"{base}/wallet/*.csv"]})
+    return out.drop("file", "amount_field")
+
+
 @register_raw("batch_load")
 def _batch_load(spark, sf_dir):
     """What the load put into the three tables: rows, ids, span and amounts read back."""
@@ -588,7 +616,7 @@ def _import_audit(spark, sf_dir):
 
 @register_raw("recent_imports")
 def _recent(spark, sf_dir):
-    return M.recent_imports(spark, _loaded_store(spark, sf_dir)).select(*AUDIT_COLS)
+    return M.recent_imports(spark, _loaded_store(spark, sf_dir)).select(*AUDIT_COLS, "module")
 
 
 @register_raw("x_batch_log")
@@ -598,16 +626,24 @@ def _x9(spark, sf_dir):
 
 @register_raw("merge_atomic")
 def _atomic(spark, sf_dir):
-    """A strict import of the corrupted export fails and leaves no version."""
+    """The stored wallet transactions before and after a strict import of the corrupted export."""
     base = adapter.exports(spark, sf_dir)
     root = scratch_path(spark, "store")
-    try:
-        M.import_file(spark, root, f"{base}/dirty_wallet/*.csv", "wallet", strict=True)
-        error = None
-    except ValueError as exc:
-        error = str(exc).split(": ", 1)[-1]
-    versions = store.committed(spark, root, "wallet_transactions").count()
-    return spark.createDataFrame([(error is not None, versions)], "failed boolean, committed_versions long")
+    M.import_file(spark, root, f"{base}/wallet/*.csv", "wallet")
+
+    def stored(moment: str) -> DataFrame:
+        rows = store.read(spark, root, "wallet_transactions", S.table_schema("wallet"))
+        rows = rows.select(F.lit(1).alias("r"), F.lit(0).alias("b"), "amount")
+        batches = M.import_batches(spark, root).select(F.lit(0).alias("r"), F.lit(1).alias("b"), F.lit(None).cast(S.MONEY).alias("amount"))
+        return rows.unionByName(batches).agg(
+            F.lit(moment).alias("moment"), F.sum("r").cast("long").alias("rows"), F.sum("b").cast("long").alias("batches"),
+            F.sum("amount").cast(S.MONEY).alias("amounts"))
+
+    before = stored("before")
+    failed = M.import_files(spark, root, [f"{base}/dirty_wallet/*.csv"], "wallet")
+    if not failed[0]["error"]:
+        raise ValueError("the corrupted export was not refused")
+    return before.unionByName(stored("after"))
 
 
 # --- M1-M5 gold tables, E1-E6 exports -------------------------------------------
@@ -697,17 +733,23 @@ def _gold_live(spark, sf_dir):
 
 @register_raw("gold_staleness")
 def _gold_stale(spark, sf_dir):
+    """The revision that the published gold tables carry against the source's, and against a newer one."""
     root = _gold_root(spark, sf_dir)
     rev = adapter._signature(sf_dir)
-    return spark.createDataFrame([(GOLD.is_fresh(spark, root, rev), GOLD.is_fresh(spark, root, rev + "+1"))],
-                                 "fresh_for_current boolean, fresh_for_newer boolean")
+    published = store.committed(spark, root, GOLD.GOLD).agg(F.max_by("note", "version").alias("revision"))
+    return published.select((F.col("revision") == rev).alias("fresh_for_current"),
+                            (F.col("revision") == rev + "+1").alias("fresh_for_newer"))
 
 
 @register_raw("gold_refresh")
 def _gold_refresh(spark, sf_dir):
+    """Versions published for the source's revision after a second refresh, and their rows."""
     root = _gold_root(spark, sf_dir)
-    again = GOLD.refresh(spark, root, ledgers(spark, sf_dir), revision=adapter._signature(sf_dir))
-    return store.committed(spark, root, GOLD.GOLD).select("version", F.lit(again).alias("rebuilt_again"))
+    rev = adapter._signature(sf_dir)
+    GOLD.refresh(spark, root, ledgers(spark, sf_dir), revision=rev)
+    versions = store.committed(spark, root, GOLD.GOLD).where(F.col("note") == rev).select(F.lit(1).alias("v"), F.lit(0).alias("r"))
+    rows = GOLD.read(spark, root, "reconciliation").select(F.lit(0).alias("v"), F.lit(1).alias("r"))
+    return versions.unionByName(rows).agg(F.sum("v").cast("long").alias("versions"), F.sum("r").cast("long").alias("rows"))
 
 
 @register("review_candidates")

@@ -9,15 +9,18 @@
   the record id: insert new ids; replace an existing row only when the
   incoming version is >= the stored one *and* the raw record differs
   (re-importing a file applies nothing); keep everything else.
-* ``import_file`` -- parse + merge + audit row committed as one version.
+* ``merge_files`` -- the guarded upserts of any number of files, in order, as one
+  fold per record id: the stored table is rewritten once.
+* ``import_files`` -- parse + merge + audit rows committed as one version.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import re
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,54 +111,166 @@ def merge(existing: DataFrame, incoming: DataFrame, imported_at: Column | None =
     return upsert(existing, latest_per_record(incoming), imported_at)
 
 
-def import_file(spark: SparkSession, root: str, path: str, dataset: str | None = None,
-                strict: bool = True, unit: str = "") -> dict:
-    """I14 + I15: parse one file, merge it, and commit rows + audit row as one
-    new version of the table. With ``strict`` any reject fails the file and
-    nothing is written. ``unit`` names the unit of work in the commit marker.
-    Returns the audit row as a dict."""
-    results = csv_ingest.ingest(spark, path, dataset)
-    if len(results) != 1:
-        raise ValueError("One dataset per file.")
-    (ds, res), = results.items()
-    table = S.TABLES[ds]
-    staged = res.rows.cache()
-    if strict:
-        first = res.rejects.orderBy("source_row_number").first()
-        if first is not None:
-            staged.unpersist()
-            raise ValueError(f"{first.source_file}: {first.reject_reason}")
+def _version_or_lowest() -> Column:
+    return F.coalesce(source_version(), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def fold(candidates: DataFrame, stored: DataFrame, key: str = "zoho_record_id") -> DataFrame:
+    """The guarded upserts of several files, in order, as one step per record id.
+
+    ``candidates``: a file's newest row per id, with ``file_no``. The upserts that one file after
+    the other would make are replayed over the id's short list (a row per file at most): a
+    candidate replaces what is there then if its version is not older and its raw record differs.
+    Returns the ids that change: key, ``row`` (the last one applied), ``applied`` (file numbers)."""
+    cols = [c for c in candidates.columns if c not in (key, "file_no")]
+    entry = F.struct("file_no", _version_or_lowest().alias("v"), F.col("raw_record").alias("raw"), F.struct(*cols).alias("row"))
+    lists = candidates.select(key, entry.alias("e")).groupBy(key).agg(F.collect_list("e").alias("files"))
+    by_file = F.array_sort("files", lambda a, b: F.when(a["file_no"] < b["file_no"], -1).otherwise(1))
+    seen = stored.select(key, _version_or_lowest().alias("_v"), F.col("raw_record").alias("_raw"))
+    joined = lists.select(key, by_file.alias("files")).join(seen, key, "left")
+    row_type = candidates.select(F.struct(*cols).alias("row")).schema["row"].dataType
+    start = F.struct(F.col("_v").alias("v"), F.col("_raw").alias("raw"), F.lit(None).cast(row_type).alias("row"),
+                     F.array().cast("array<int>").alias("applied"))
+
+    def step(acc: Column, x: Column) -> Column:
+        takes = acc["v"].isNull() | ((x["v"] >= acc["v"]) & ~x["raw"].eqNullSafe(acc["raw"]))
+        new = F.struct(x["v"].alias("v"), x["raw"].alias("raw"), x["row"].alias("row"),
+                       F.concat(acc["applied"], F.array(x["file_no"])).alias("applied"))
+        return F.when(takes, new).otherwise(acc)
+
+    # a generated row, so that the fold runs once and not for every field that is read from it
+    done = joined.select(key, F.explode(F.array(F.aggregate("files", start, step))).alias("s"))
+    return done.where(F.size("s.applied") > 0).select(key, F.col("s.row").alias("row"), F.col("s.applied").alias("applied"))
+
+
+def merge_files(stored: DataFrame, rows: DataFrame, imported_at: Column | None = None,
+                key: str = "zoho_record_id") -> tuple[DataFrame, DataFrame]:
+    """I12 + I13 for the rows of several files (``file_no``, in order): the merged table, and (file_no, rows_applied).
+
+    The stored table is read for the files' ids and rewritten once, however many files there are."""
+    now = imported_at if imported_at is not None else F.current_timestamp()
+    ts_type = stored.schema["imported_at"].dataType
+    cols = [c for c in rows.columns if c not in (key, "file_no")]
+    order = F.struct(source_version().alias("v"), F.col("source_row_number").alias("n"))
+    newest = rows.groupBy(key, "file_no").agg(F.max_by(F.struct(*cols), order).alias("_r"))
+    newest = written(newest.select(key, "file_no", *[F.col(f"_r.{c}").alias(c) for c in cols]), "incoming")
+    small = (newest.agg(payload_bytes(newest).alias("b")).first().b or 0) <= BROADCAST_INCOMING_BYTES
+    ids = newest.select(key).distinct()
+    known = stored.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    changed = written(fold(newest, known, key), "changed")
+    counts = changed.select(F.explode("applied").alias("file_no")).groupBy("file_no").agg(F.count(F.lit(1)).alias("rows_applied"))
+    gone = changed.select(key)
+    kept = stored.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    fresh = changed.select(*[F.col(key) if c == key else (now.cast(ts_type) if c == "imported_at" else F.col(f"row.{c}")).alias(c)
+                             for c in stored.columns])
+    return kept.unionByName(fresh), counts
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, a folder or a glob names, as Spark's file system lists them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: list[str] = []
+    for status in fs.globStatus(hadoop) or []:
+        below = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [f.getPath().toString() for f in below if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    return out
+
+
+def _same_path(path: str) -> str:
+    """One spelling of a local file's path: ``file:///a``, ``file:/a`` and ``/a`` are the same."""
+    return re.sub(r"^(file:)?/+", "/", path)
+
+
+def import_files(spark: SparkSession, root: str, paths: list[str], dataset: str | None = None, *, strict: bool = True,
+                 units: list[str] | None = None, stop: bool = False) -> list[dict]:
+    """I14 + I15 for several files of one dataset: parsed once, merged in one step, committed as one version.
+
+    Table, audit rows and counts are those of importing the files one after the other. A glob
+    counts as one file. With ``strict`` a file with a reject is left out whole and its result
+    has an ``error``; with ``stop`` the files after it are left out, too, without a result. ``units`` name
+    the files in the commit marker."""
+    entry = {_same_path(f): no for no, p in enumerate(paths) for f in _listed(spark, p)}
+    found = csv_ingest.header_audit(spark, paths).collect()
+    results = [{"source_file": p.rsplit("/", 1)[-1], "error": None} for p in paths]
+    heads: list[list] = [[] for _ in paths]
+    for r in found:
+        heads[entry[_same_path(r.file_path)]].append(r)
+    kinds = {r.dataset for r in found if r.dataset}
+    if dataset is None and len(kinds) == 1:
+        dataset, = kinds
+    for result, files in zip(results, heads):
+        wrong = [f"{r.file_name}: {r.problem or f'this is a {r.dataset} export where a {dataset} export belongs.'}"
+                 for r in files if r.problem or r.dataset != dataset]
+        if wrong or not files:
+            result["error"] = "; ".join(sorted(wrong)) or f"{result['source_file']}: there is no record in it."
+    good = [no for no, r in enumerate(results) if not r["error"]]
+    if not good:
+        return _until_error(results, stop)
+    parsed = csv_ingest.read_audited(spark, [r for no in good for r in heads[no]])[dataset].parsed
+    numbers = [(p, no) for p, no in entry.items() if not results[no]["error"]]
+    numbers = spark.createDataFrame(numbers, "_path string, file_no int")  # a row a file, as the audit above
+    spelled = F.regexp_replace("source_path", r"^(file:)?/+", "/")
+    parsed = written(parsed.withColumn("_path", spelled).join(F.broadcast(numbers), "_path").drop("_path"), "parsed")
+    rejected = F.col("reject_reason").isNotNull()
+    facts = {r.file_no: r for r in parsed.groupBy("file_no").agg(
+        F.count_if(~rejected).alias("rows_read"), F.min(F.when(~rejected, F.col("created_on"))).alias("lo"),
+        F.max(F.when(~rejected, F.col("created_on"))).alias("hi"),
+        F.min(F.when(rejected, F.struct("source_file", "source_row_number", "reject_reason"))).alias("first")).collect()}
+    for no in good:
+        if strict and no in facts and facts[no].first is not None:
+            results[no]["error"] = f"{facts[no].first.source_file}: {facts[no].first.reject_reason}"
+    errors = [no for no, r in enumerate(results) if r["error"]]
+    good = [no for no in good if not results[no]["error"] and not (stop and errors and no > errors[0])]
+    if not good:
+        return _until_error(results, stop)
+
+    table = S.TABLES[dataset]
     current = store.latest_version(spark, root, table)
-    existing = store.read(spark, root, table, S.table_schema(ds), version=current) if current else \
-        spark.createDataFrame([], S.table_schema(ds))
-    # the applied rows are counted by the write itself (no cached copy of the
-    # table, no second pass over it)
-    applied = Observation("applied")
-    merged = merge(existing, staged.drop("imported_at").withColumn("imported_at", F.current_timestamp())) \
-        .observe(applied, F.count_if("_applied").alias("rows"))
-    summary = staged.agg(F.count(F.lit(1)).alias("rows_read"), F.min("created_on").alias("lo"),
-                         F.max("created_on").alias("hi")).first()
-    # one row per file of the unit; several files get one digest over their digests
-    sums = csv_ingest.checksums(spark, path).orderBy("source_file").collect()
-    source_file = ";".join(r.source_file for r in sums)
-    sha256 = sums[0].sha256 if len(sums) == 1 else \
-        hashlib.sha256("".join(r.sha256 for r in sums).encode()).hexdigest()
-    # the batch id is assigned at commit, like a serial: one more than the
-    # largest committed id (imports are one writer at a time, see store.commit)
-    last = import_batches(spark, root).agg(F.max("batch_id").alias("last")).first().last
-
-    def batch() -> DataFrame:  # after the data part is written
-        return spark.createDataFrame(
-            [((last or 0) + 1, ds, source_file, sha256, summary.rows_read, applied.get["rows"], summary.lo,
-              summary.hi, dt.datetime.now(dt.timezone.utc))], AUDIT_SCHEMA)
-
-    version = store.commit(spark, root, table, {"data": merged.drop("_applied"), "batch": batch},
-                           note=unit or source_file, expected_version=current)
-    staged.unpersist()
-    return {"dataset": ds, "source_file": source_file, "sha256": sha256, "rows_read": summary.rows_read,
-            "rows_applied": applied.get["rows"], "version": version,
-            "min_created_on": summary.lo.isoformat() if summary.lo else None,
-            "max_created_on": summary.hi.isoformat() if summary.hi else None}
+    stored = store.read(spark, root, table, S.table_schema(dataset), version=current) if current else \
+        spark.createDataFrame([], S.table_schema(dataset))
+    rows = parsed.where(F.col("file_no").isin(*good) & ~rejected).select(*S.stored_columns(dataset), "file_no")
+    merged, counts = merge_files(stored, rows)
+    applied = {r.file_no: r.rows_applied for r in counts.collect()}
+    sums: list[list] = [[] for _ in paths]
+    for r in csv_ingest.checksums(spark, [csv_ingest.literal(f.file_path) for no in good for f in heads[no]]).collect():
+        sums[entry[_same_path(r.file_path)]].append((r.source_file, r.sha256))
+    # batch ids are assigned at commit, like a serial: more than the largest
+    # committed id (imports are one writer at a time, see store.commit)
+    last = import_batches(spark, root).agg(F.max("batch_id").alias("last")).first().last or 0
+    now, batch = dt.datetime.now(dt.timezone.utc), []
+    for no in good:
+        files, f = sorted(sums[no]), facts.get(no)
+        # a glob's files get one digest over their digests
+        digest = files[0][1] if len(files) == 1 else hashlib.sha256("".join(d for _, d in files).encode()).hexdigest()
+        batch.append((last + len(batch) + 1, dataset, ";".join(n for n, _ in files), digest, f.rows_read if f else 0,
+                      applied.get(no, 0), f.lo if f else None, f.hi if f else None, now))
+    note = UNITS.join(units[no] for no in good) if units else ""
+    version = store.commit(spark, root, table, {"data": merged, "batch": spark.createDataFrame(batch, AUDIT_SCHEMA)},
+                           note=note, expected_version=current)
+    for no, b in zip(good, batch):
+        results[no] |= {"dataset": dataset, "source_file": b[2], "sha256": b[3], "rows_read": b[4], "rows_applied": b[5],
+                        "version": version, "min_created_on": b[6].isoformat() if b[6] else None,
+                        "max_created_on": b[7].isoformat() if b[7] else None}
+    return _until_error(results, stop)
+
+
+def _until_error(results: list[dict], stop: bool) -> list[dict]:
+    first = next((no for no, r in enumerate(results) if r["error"]), len(results))
+    return results[:first + 1] if stop else results
+
+
+#: Parts the units of a commit marker.
+UNITS = "\n"
+
+
+def import_file(spark: SparkSession, root: str, path: str, dataset: str | None = None, strict: bool = True,
+                unit: str = "") -> dict:
+    """``import_files`` for one file (or glob); an error is raised and nothing is written."""
+    result, = import_files(spark, root, [path], dataset, strict=strict, units=[unit])
+    if result["error"]:
+        raise ValueError(result["error"])
+    return result
 
 
 AUDIT_SCHEMA = ("batch_id long, dataset string, source_file string, sha256 string, rows_read long, "
@@ -180,22 +295,55 @@ def import_batches(spark: SparkSession, root: str) -> DataFrame:
 
 
 def recent_imports(spark: SparkSession, root: str, n: int = 10) -> DataFrame:
-    """The last ``n`` batches, newest first."""
-    return import_batches(spark, root).orderBy(F.desc("batch_id")).limit(n)
+    """The last ``n`` batches, newest first, with the name of their module."""
+    names = F.create_map(*[F.lit(x) for pair in csv_ingest.DATASET_MODULES.items() for x in pair])
+    return import_batches(spark, root).orderBy(F.desc("batch_id")).limit(n).withColumn("module", names[F.col("dataset")])
+
+
+def configured(files: dict[str, list[str]], *, master_only: bool = False, file_prefix: str | None = None) -> list[tuple[str, str]]:
+    """I16: the configured files in load order wallet master -> wallet -> swap, restricted by the
+    options; an option that leaves none has an error of its own."""
+    todo = [(ds, p) for ds in S.LOAD_ORDER for p in files.get(ds, [])]
+    if not todo:
+        raise ValueError("No configured files to load.")
+    if master_only:
+        todo = [(ds, p) for ds, p in todo if ds == "wallet_master"]
+        if not todo:
+            raise ValueError("No wallet master files are configured.")
+    if file_prefix:
+        todo = [(ds, p) for ds, p in todo if p.rsplit("/", 1)[-1].startswith(file_prefix)]
+        if not todo:
+            raise ValueError(f"None of the configured file names begins with {file_prefix!r}.")
+    return todo
+
+
+def dry_run(spark: SparkSession, files: dict[str, list[str]], *, master_only: bool = False,
+            file_prefix: str | None = None) -> DataFrame:
+    """I16 without a store: the profile of every configured file, in load order. A file with a
+    reject raises ``ValueError`` naming its first one."""
+    out = None
+    for no, (ds, path) in enumerate(configured(files, master_only=master_only, file_prefix=file_prefix)):
+        res = csv_ingest.ingest(spark, path, ds)[ds]
+        parsed = written(res.parsed, "parsed")
+        res = csv_ingest.split_rejects(ds, parsed)
+        first = res.rejects.orderBy("source_file", "source_row_number").first()
+        if first is not None:
+            raise ValueError(f"{first.source_file}: {first.reject_reason}")
+        row = csv_ingest.profile(res.rows, ds).select(F.lit(no).alias("position"), F.lit(path.rsplit("/", 1)[-1]).alias("file"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def batch_load(spark: SparkSession, root: str, files: dict[str, list[str]], *, master_only: bool = False,
                file_prefix: str | None = None) -> list[dict]:
-    """I16: configured files in load order wallet master -> wallet -> swap;
-    options restrict to the master or to a file-name prefix."""
-    todo = []
+    """I16: the configured files, one merge per dataset. As with one import after the other, the
+    first file that fails ends the load; what comes before it is committed."""
+    todo = configured(files, master_only=master_only, file_prefix=file_prefix)
+    results = []
     for ds in S.LOAD_ORDER:
-        if master_only and ds != "wallet_master":
-            continue
-        for p in files.get(ds, []):
-            if file_prefix and not p.rsplit("/", 1)[-1].startswith(file_prefix):
-                continue
-            todo.append((ds, p))
-    if not todo:
-        raise ValueError("No configured files to load.")
-    return [import_file(spark, root, p, ds) for ds, p in todo]
+        paths = [p for d, p in todo if d == ds]
+        if paths:
+            results += import_files(spark, root, paths, ds, stop=True)
+            if results[-1]["error"]:
+                raise ValueError(results[-1]["error"])
+    return results

@@ -9,8 +9,11 @@ scratch folder is created and registered.
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +67,31 @@ def work_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder name below the shared work root (never reused)."""
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver found it.
+
+    The archive lies in the shared folder, so no task depends on a folder of the driver's.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    target = f"{scratch_path(spark, os.path.basename(package))}.zip"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    stream.write(packed.getvalue())
+    stream.close()
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)

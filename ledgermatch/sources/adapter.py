@@ -31,7 +31,6 @@ SWAP_ONLY_COUNTRY = "Offshore"
 NATION_WITHOUT_SWAP_TIMES = 23
 IMPORTED_AT = "2026-10-05 00:00:00"
 MASTER_CREATED_ON = "1994-06-01 00:00:00"
-EXPORT_FILES = 8
 # --- end of fixed values --------------------------------------------------
 
 
@@ -220,7 +219,7 @@ SOURCE_TABLES = ("orders", "customer", "nation", "lineitem")
 
 # Bumped whenever the derived tables' layout changes, so stored copies made by
 # older code are never reused.
-LAYOUT_VERSION = "5"
+LAYOUT_VERSION = "6"
 
 
 def _signature(sf_dir: str) -> str:
@@ -303,19 +302,29 @@ def dirty_overrides() -> dict[str, Column]:
 
 def exports(spark: SparkSession, sf_dir: str) -> str:
     """Folder of CSV exports written from the stored ledgers (once per source):
-    ``wallet/``, ``swap/``, ``wallet_master/`` (with a Wallet Pin column) and
-    ``dirty_wallet/``. Several part files per dataset."""
+    ``wallet/``, ``swap/``, ``wallet_master/`` (with a Wallet Pin column),
+    ``dirty_wallet/``, ``late_wallet/`` (a later export with revised records),
+    ``partial_wallet/`` (a header is missing) and ``master_by_country/`` (a file per
+    nation). Rows are in order of the record id, across the files by name, too;
+    the number of files follows from the size."""
     from . import csv_ingest
 
     base = f"{work_root(spark)}/exports-{_signature(sf_dir)}"
-    # a drop folder of several files (a multiLine CSV file is read by one task)
-    w, wt, sw = (df.repartition(EXPORT_FILES, "zoho_record_id") for df in stored(spark, sf_dir))
+
+    def ordered(df: DataFrame, *more: str) -> DataFrame:
+        return df.repartitionByRange("zoho_record_id").sortWithinPartitions("zoho_record_id", *more)
+
+    w, wt, sw = stored(spark, sf_dir)
     pin = F.concat(F.lit("PIN-"), F.substring(F.sha2(F.col("zoho_record_id"), 256), 1, 6))
+    by_country = w.repartition("country").sortWithinPartitions("country", "zoho_record_id")
     jobs = {
-        "wallet": lambda p: csv_ingest.export_csv(wt, "wallet", p),
-        "swap": lambda p: csv_ingest.export_csv(sw, "swap", p),
-        "wallet_master": lambda p: csv_ingest.export_csv(w, "wallet_master", p, extra={"Wallet Pin": pin}),
-        "dirty_wallet": lambda p: csv_ingest.export_csv(wt, "wallet", p, overrides=dirty_overrides()),
+        "wallet": lambda p: csv_ingest.export_csv(ordered(wt), "wallet", p),
+        "swap": lambda p: csv_ingest.export_csv(ordered(sw), "swap", p),
+        "wallet_master": lambda p: csv_ingest.export_csv(ordered(w), "wallet_master", p, extra={"Wallet Pin": pin}),
+        "dirty_wallet": lambda p: csv_ingest.export_csv(ordered(wt), "wallet", p, overrides=dirty_overrides()),
+        "late_wallet": lambda p: csv_ingest.export_csv(ordered(revisions(wt), "source_row_number"), "wallet", p),
+        "partial_wallet": lambda p: csv_ingest.export_csv(ordered(wt), "wallet", p, leave_out=("Amount", "Type")),
+        "master_by_country": lambda p: csv_ingest.export_csv(by_country, "wallet_master", p, folder="country"),
     }
     for name, job in jobs.items():
         if not _exists(spark, f"{base}/{name}"):

@@ -2,19 +2,17 @@
 
 Steps, all Spark jobs over a drop folder (or a list of files):
 
-1. ``header_audit`` -- one job over the first split of every file: header
-   line per file, missing expected headers, duplicate headers, detected
+1. ``header_audit`` -- the first record of every file, nothing behind it is read:
+   missing expected headers, duplicate headers, detected
    dataset (exactly one field map must be a subset of the header).
-2. ``read_typed`` -- one CSV read per distinct header layout (columns are
-   mapped by *name*, Spark's CSV reader maps by position): all fields read as
-   strings, malformed rows caught in ``_corrupt_record``; then one ``select``
+2. ``read_typed`` -- the records of all files that share a header layout
+   (``records``: files are read in splits, also where quoted fields hold line
+   breaks), parsed by ``from_csv`` into strings (columns are mapped by *name*),
+   malformed rows caught in ``_corrupt_record``; then one ``select``
    types every field with regex guards + ``try_cast`` and records the first
    failing field as ``reject_reason``. Sensitive columns are dropped before
    anything is written, the raw record keeps every other field as text.
 3. ``profile`` / ``validate_preview`` -- one aggregation each.
-
-``multiLine`` is on (quoted fields may hold newlines), so a file is read by a
-single task; parallelism comes from the number of files in the drop.
 """
 
 from __future__ import annotations
@@ -23,12 +21,13 @@ import re
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
 from .. import schema as S
+from . import records as REC
 
 # --- fixed values: parsing guards -----------------------------------------
 DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
@@ -41,48 +40,27 @@ CORRUPT = "_corrupt_record"
 # --- end of fixed values --------------------------------------------------
 
 CSV_OPTIONS = {
-    "header": "true",
     "multiLine": "true",
     "escape": '"',
     "quote": '"',
     "mode": "PERMISSIVE",
-    "encoding": "UTF-8",
     "columnNameOfCorruptRecord": CORRUPT,
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
 
 
-def _split_header(line: Column) -> Column:
-    """CSV header line -> array of field names (quotes removed, "" unescaped)."""
-    fields = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(fields, lambda f: F.regexp_replace(
-        F.regexp_replace(f, r'^"(.*)"$', "$1"), '""', '"'))
-
-
-def plain_path(c: Column) -> Column:
-    """A file's path as written; the metadata column gives it percent-encoded."""
-    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-
-
 def literal(path: str) -> str:
     """``path`` with its glob characters escaped, to read exactly that file."""
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
 def header_audit(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """I4 + I5: (file_path, file_name, headers, missing, duplicates, dataset,
-    problem) for every file. Reads only the first split of each file."""
+    """I4 + I5: (file_path, file_name, headers, candidate_datasets, dataset,
+    duplicate_headers, problem) for every file that has a record. Reads the
+    first record of each file only, in one task a file."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = (spark.read.text(paths)
-             .select("value", plain_path(F.col("_metadata.file_path")).alias("file_path"),
-                     F.col("_metadata.file_name").alias("file_name"),
-                     F.col("_metadata.file_block_start").alias("block"))
-             .filter(F.col("block") == 0)
-             .withColumn("_pos", F.monotonically_increasing_id()))
-    first = lines.groupBy("file_path", "file_name").agg(F.min_by("value", "_pos").alias("header_line"))
-    h = first.select("file_path", "file_name", F.regexp_replace("header_line", "^﻿", "").alias("header_line"))
-    h = h.withColumn("headers", _split_header(F.col("header_line")))
+    h = REC.heads(spark, paths)
     matches = [F.when(F.size(F.array_except(F.array(*[F.lit(x) for x in S.headers_of(ds)]), F.col("headers"))) == 0,
                       F.lit(ds)) for ds in S.FIELD_MAPS]
     h = h.withColumn("_hits", F.array_compact(F.array(*matches)))
@@ -167,20 +145,20 @@ def read_typed(spark: SparkSession, files: list[str], dataset: str, headers: lis
                sensitive: tuple[str, ...] = S.SENSITIVE_HEADERS, imported_at: Column | None = None) -> IngestResult:
     """I1-I3, I6-I8 for files that share one header layout.
 
-    Fields are read positionally as strings (``c0 .. cN``) and mapped to
+    Fields are parsed positionally as strings (``c0 .. cN``) and mapped to
     table columns by header name; ``_corrupt_record`` flags rows with a wrong
-    number of fields."""
+    number of fields. Record numbers are those of the file, the header being 0."""
     positional = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))]
                               + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.options(**CSV_OPTIONS).schema(positional).csv(files)
-           .select("*", F.col("_metadata.file_name").alias("source_file"),
-                   F.col("_metadata.file_path").alias("_path"),
-                   F.monotonically_increasing_id().alias("_pos")))
-    # 1-based record number per file, in file order: a multiLine file is read
-    # whole by one task, so this window keeps each file in one task as well
-    # (one parse; the shuffle is by file).
-    raw = raw.withColumn("source_row_number", F.row_number().over(
-        Window.partitionBy("_path").orderBy("_pos")).cast("bigint"))
+    limit = REC.MAX_FIELD * (len(headers) + 1)  # a longer record has a field that is too long, or too many
+    found = REC.records(spark, files, limit).where("record > 0")
+    fields = F.from_csv("text", positional.simpleString(), CSV_OPTIONS)
+    # a generated row: the parsed fields are computed once, not once per expression and filter that reads them
+    raw = found.select(F.col("name").alias("source_file"), REC.plain_path(F.col("path")).alias("source_path"),
+                       F.col("record").alias("source_row_number"),
+                       F.explode(F.array(F.when(F.length("text") <= limit, fields))).alias("_fields"))
+    raw = raw.select("source_file", "source_path", "source_row_number", F.col("_fields").isNull().alias("_oversize"), "_fields.*")
+    longest = F.greatest(*[F.coalesce(F.length(f"c{i}"), F.lit(0)) for i in range(len(headers))], F.lit(0))
     by_header = {h: F.col(f"c{i}") for i, h in enumerate(headers)}
     typed, errors, scales = [], [], []
     for col, header, kind in S.FIELD_MAPS[dataset]:
@@ -194,20 +172,25 @@ def read_typed(spark: SparkSession, files: list[str], dataset: str, headers: lis
     kept = sorted(h for h in headers if h not in sensitive)
     raw_record = F.to_json(F.struct(*[F.coalesce(by_header[h], F.lit("")).alias(h) for h in kept]))
     reason = F.coalesce(
+        F.when(F.col("_oversize") | (longest > REC.MAX_FIELD), F.lit(f"has a field of more than {REC.MAX_FIELD} characters")),
         F.when(F.col(CORRUPT).isNotNull(), F.lit("has the wrong number of fields")),
         *errors)
     stamped = raw.select(
         *typed, *scales, "source_file", "source_row_number", raw_record.alias("raw_record"),
         (imported_at if imported_at is not None else F.current_timestamp()).alias("imported_at"),
-        by_header["Record Id"].alias("record_text"),
+        "source_path", by_header["Record Id"].alias("record_text"),
         reason.alias("reject_message"),
         F.when(reason.isNotNull(), F.concat(F.lit("record "), F.col("source_row_number").cast("string"),
                                             F.lit(": "), reason)).alias("reject_reason"))
-    table_cols = S.stored_columns(dataset)
-    rows = stamped.filter(F.col("reject_reason").isNull()).select(*table_cols)
-    rejects = stamped.filter(F.col("reject_reason").isNotNull()).select(
+    return split_rejects(dataset, stamped)
+
+
+def split_rejects(dataset: str, parsed: DataFrame) -> IngestResult:
+    """Accepted rows and rejects of parsed records."""
+    rows = parsed.filter(F.col("reject_reason").isNull()).select(*S.stored_columns(dataset))
+    rejects = parsed.filter(F.col("reject_reason").isNotNull()).select(
         "source_file", "source_row_number", "record_text", "reject_message", "reject_reason")
-    return IngestResult(dataset, rows, rejects, stamped)
+    return IngestResult(dataset, rows, rejects, parsed)
 
 
 def ingest(spark: SparkSession, paths: str | list[str], dataset: str | None = None) -> dict[str, IngestResult]:
@@ -219,28 +202,29 @@ def ingest(spark: SparkSession, paths: str | list[str], dataset: str | None = No
     bad = [f"{r.file_name}: {r.problem}" for r in audit if r.problem]
     if bad:
         raise ValueError("; ".join(sorted(bad)))
-    layouts: dict[tuple[str, tuple[str, ...]], list[str]] = {}
     for r in audit:
         if dataset is not None and r.dataset != dataset:
-            raise ValueError(f"{r.file_name}: expected a {dataset} export, found {r.dataset}.")
+            raise ValueError(f"{r.file_name}: this is a {r.dataset} export where a {dataset} export belongs.")
+    return read_audited(spark, audit)
+
+
+def read_audited(spark: SparkSession, audit: list) -> dict[str, IngestResult]:
+    """Typed reads of audited files without a problem, by dataset."""
+    layouts: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for r in audit:
         layouts.setdefault((r.dataset, tuple(r.headers)), []).append(r.file_path)
     out: dict[str, IngestResult] = {}
     for (ds, headers), files in sorted(layouts.items()):
         res = read_typed(spark, [literal(f) for f in sorted(files)], ds, list(headers))
         if ds in out:
-            prev = out[ds]
-            res = IngestResult(ds, prev.rows.unionByName(res.rows), prev.rejects.unionByName(res.rejects),
-                               prev.parsed.unionByName(res.parsed, allowMissingColumns=True))
+            res = split_rejects(ds, out[ds].parsed.unionByName(res.parsed, allowMissingColumns=True))
         out[ds] = res
     return out
 
 
 def checksums(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """sha256 of each file's bytes (one task per file, content in memory;
-    files are bounded by the upload limit)."""
-    return (spark.read.format("binaryFile").load(paths)
-            .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"),
-                    F.sha2(F.col("content"), 256).alias("sha256"), F.col("length").alias("bytes")))
+    """(source_file, sha256, bytes) of each file, hashed as a stream in one task a file."""
+    return REC.digests(spark, [paths] if isinstance(paths, str) else list(paths))
 
 
 def profile(rows: DataFrame, dataset: str) -> DataFrame:
@@ -294,10 +278,11 @@ def validate_preview(rows: DataFrame, dataset: str,
 
 
 def export_csv(df: DataFrame, dataset: str, path: str, overrides: dict[str, Column] | None = None,
-               extra: dict[str, Column] | None = None) -> None:
+               extra: dict[str, Column] | None = None, leave_out: tuple[str, ...] = (), folder: str | None = None) -> None:
     """Write ledger rows as an export with the source headers (test inputs,
     round trips). Text is written verbatim; decimals keep their scale.
-    ``overrides`` replace a header's text, ``extra`` adds columns."""
+    ``overrides`` replace a header's text, ``extra`` adds columns, ``leave_out``
+    drops headers, ``folder`` names a column whose values get a folder each."""
     overrides = overrides or {}
     cols = []
     for col, header, kind in S.FIELD_MAPS[dataset]:
@@ -308,7 +293,9 @@ def export_csv(df: DataFrame, dataset: str, path: str, overrides: dict[str, Colu
         cols.append(c.cast("string").alias(header))
     for header, c in (extra or {}).items():
         cols.append(c.cast("string").alias(header))
-    (df.select(*cols).write.mode("overwrite")
+    cols = [c for c, (_, header, _) in zip(cols, S.FIELD_MAPS[dataset]) if header not in leave_out] + cols[len(S.FIELD_MAPS[dataset]):]
+    writer = df.select(*cols, *([F.col(folder).alias("folder")] if folder else [])).write.mode("overwrite")
+    ((writer.partitionBy("folder") if folder else writer)
      .options(header="true", escape='"', quote='"', ignoreLeadingWhiteSpace="false",
               ignoreTrailingWhiteSpace="false", nullValue="", emptyValue='""')
      .csv(path))

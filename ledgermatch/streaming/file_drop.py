@@ -1,9 +1,9 @@
 """Continuous import of a drop folder (the upload queue, re-aimed).
 
 A Structured Streaming file source lists new ``*.csv`` files of the drop
-folder; each micro-batch (at most ``max_files`` new files) runs the import
-unit of ``operators.merge`` per file -- header audit, typed read, strict
-rejects, versioned merge, audit row -- in load order wallet master -> wallet
+folder; each micro-batch (at most ``max_files`` new files) runs one import
+unit of ``operators.merge`` per dataset -- header audit, typed read, strict
+rejects, one merge of all files, an audit row per file -- in load order wallet master -> wallet
 -> swap, then refreshes the gold tables once. The stream's checkpoint (below
 the shared work folder) records which files were handed out; every import
 commits the stream, batch and path it belongs to, and a replayed batch skips
@@ -21,6 +21,7 @@ import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
@@ -46,13 +47,14 @@ def _committed_units(spark: SparkSession, root: str, units: list[str]) -> set[st
     done = set()
     for table in S.TABLES.values():
         marks = store.committed(spark, root, table)
-        done |= {r.note for r in marks.filter(marks.note.isin(units)).collect()}
+        named = marks.select(F.explode(F.split("note", M.UNITS)).alias("unit"))
+        done |= {r.unit for r in named.filter(F.col("unit").isin(units)).collect()}
     return done
 
 
 def import_batch(spark: SparkSession, paths: list[str], root: str, gold_root: str | None = None,
                  batch: str | None = None) -> list[dict]:
-    """Import the given files (one unit each, load order), then refresh gold.
+    """Import the given files (one merge per dataset, load order), then refresh gold.
 
     With a ``batch`` name, files that the same batch has committed before are skipped."""
     if not paths:
@@ -65,13 +67,15 @@ def import_batch(spark: SparkSession, paths: list[str], root: str, gold_root: st
     done = _committed_units(spark, root, [u for u in unit.values() if u])
     results, failures = [], []
     for ds in S.LOAD_ORDER:
-        for path in sorted(p for p, d in audit.items() if d == ds):
-            if unit[path] in done:
-                continue
-            try:
-                results.append(M.import_file(spark, root, csv_ingest.literal(path), ds, unit=unit[path]))
-            except ValueError as exc:
-                failures.append((path, ds, str(exc), dt.datetime.now(dt.timezone.utc)))
+        paths = sorted(p for p, d in audit.items() if d == ds and unit[p] not in done)
+        if not paths:
+            continue
+        exact = [csv_ingest.literal(p) for p in paths]
+        for path, r in zip(paths, M.import_files(spark, root, exact, ds, units=[unit[p] for p in paths])):
+            if r["error"]:
+                failures.append((path, ds, r["error"], dt.datetime.now(dt.timezone.utc)))
+            else:
+                results.append(r)
     unknown = [(p, None, "Not a complete export.", dt.datetime.now(dt.timezone.utc))
                for p, d in audit.items() if d is None]
     unknown += [(p, None, "The file is empty.", dt.datetime.now(dt.timezone.utc)) for p in sorted(empty)]

@@ -197,3 +197,56 @@ def test_file_names_with_spaces_and_glob_characters(spark, tmp_path):
     assert {r.dataset for r in audit} == {"wallet"} and all(" " in r.file_path for r in audit)
     parsed = I.ingest(spark, str(tmp_path))["wallet"].parsed
     assert parsed.count() == 2
+
+
+def test_one_merge_per_batch_equals_one_by_one(spark, folder):
+    """For files in any order with repeated, older, tied and equal records: table, counts and audit agree."""
+    import random
+
+    rnd = random.Random(8)
+    names = []
+    for k in range(3):
+        rows = [dict(WALLET, **{"Record Id": f"r{rnd.randrange(6)}", "Amount": f"{rnd.randrange(3)}.5",
+                                "Modified Time": rnd.choice(["", "2026-01-01 00:00:00", "2026-01-02 00:00:00"])}) for _ in range(8)]
+        names.append(write_csv(folder, f"w{k}.csv", "wallet", rows))
+    names.append(write_csv(folder, "bad.csv", "wallet", [dict(WALLET, **{"Record Id": "r1", "Amount": "NaN"})]))
+    names.append(write_csv(folder, "none.csv", "wallet", []))
+    for run in range(1):
+        rnd.shuffle(names)
+        apart, together = (os.path.join(folder, f"{n}{run}") for n in ("apart", "together"))
+        want = []
+        for p in names:
+            try:
+                want.append(M.import_file(spark, apart, p, "wallet")["rows_applied"])
+            except ValueError as exc:
+                want.append(str(exc))
+        got = [r["error"] or r["rows_applied"] for r in M.import_files(spark, together, names, "wallet")]
+        assert got == want and any(isinstance(x, str) for x in want)
+        cols = [c for c in S.stored_columns("wallet") if c != "imported_at"]
+        tables = [sorted(map(str, store.read(spark, root, "wallet_transactions").select(*cols).collect())) for root in (apart, together)]
+        assert tables[0] == tables[1]
+        audits = [[(a.batch_id, a.source_file, a.sha256, a.rows_read, a.rows_applied) for a in M.import_batches(spark, root).orderBy(
+            "batch_id").collect()] for root in (apart, together)]
+        assert audits[0] == audits[1]
+        assert store.latest_version(spark, together, "wallet_transactions") == 1  # one rewrite for all files
+
+
+def test_configured_load_stops_at_a_bad_file_and_dry_run(spark, folder):
+    good = write_csv(folder, "jan_w.csv", "wallet", [WALLET])
+    bad = write_csv(folder, "feb_w.csv", "wallet", [dict(WALLET, **{"Record Id": "t2", "Amount": "x"})])
+    late = write_csv(folder, "mar_w.csv", "wallet", [dict(WALLET, **{"Record Id": "t3"})])
+    root = os.path.join(folder, "store")
+    with pytest.raises(ValueError, match="feb_w.csv: record 1"):
+        M.batch_load(spark, root, {"wallet": [good, bad, late]})
+    assert store.read(spark, root, "wallet_transactions").count() == 1
+    profile = M.dry_run(spark, {"wallet": [good, late], "swap": [write_csv(folder, "jan_s.csv", "swap", [SWAP])]}, file_prefix="jan")
+    assert [(r.file, r.dataset, r.rows) for r in profile.orderBy("position").collect()] == [
+        ("jan_w.csv", "wallet", 1), ("jan_s.csv", "swap", 1)]
+    with pytest.raises(ValueError, match="begins with 'dec'"):
+        M.dry_run(spark, {"wallet": [good]}, file_prefix="dec")
+    with pytest.raises(ValueError, match="No wallet master"):
+        M.batch_load(spark, root, {"wallet": [good]}, master_only=True)
+    with pytest.raises(ValueError, match="record 1"):
+        M.dry_run(spark, {"wallet": [bad]})
+    recent = M.recent_imports(spark, root).collect()
+    assert [(r.module, r.source_file) for r in recent] == [("Wallet transactions", "jan_w.csv")]
