@@ -11,9 +11,6 @@ Conventions of every operator:
 
 from __future__ import annotations
 
-import io
-import os
-import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -21,7 +18,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgermatch.session import scratch_path
+from ledgermatch.session import scratch_path, ship  # noqa: F401 (the operators take it from here)
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -29,7 +26,6 @@ SPACES = " \t\n\x0b\f\r"
 #: Rows of a hash bucket in which a window sorts; a source's buckets follow its row count.
 BUCKET_ROWS = 4096
 
-_SHIPPED: set[str] = set()
 _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
@@ -151,28 +147,3 @@ def running_before(df: DataFrame, group: list[str], bucket: str, order: list[Col
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum("__v").over(inner), F.lit(0))
     return df.join(starts, keys).withColumn(out, (F.col("__s") + local).cast("long")).drop("__s", "__v")
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever the driver found it.
-
-    The archive lies in the shared folder, so no task depends on a folder of the driver's.
-    """
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for folder, _, files in os.walk(package):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    target = f"{scratch_path(spark, os.path.basename(package))}.zip"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    stream.write(packed.getvalue())
-    stream.close()
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
