@@ -13,7 +13,11 @@ Candidates are confirmed on full sets, without pairing everything in a bucket:
   meets the bucket's members, and verified links are contracted to components;
 * what is left are pairs between components that share a bucket. Two sets at the threshold
   have a shingle in common among their rarest few, so only pairs that meet in one of those
-  (within the bounds that their sizes set) are verified; the others cannot be links.
+  (within the bounds that their sizes set) are verified; the others cannot be links. A set's
+  place of the shared shingle bounds the sizes that its partner may have, so a shingle that
+  many share is joined by the size classes that both sides allow: texts that share a page
+  frame just below the threshold never meet. What meets at a hot shingle are pairs whose bound is
+  within ``CLASS - 1`` of the threshold's sizes; each is verified once.
 
 So no link between candidates is lost, and a group of thousands of near copies costs a few
 dozen verifications each. Components come from repeated contraction of the verified links (hook to the
@@ -42,6 +46,10 @@ from ledgermatch.llm.common import carry, cut, pick, ship, split_join, with_row_
 BROADCAST_IDS = 2_000_000
 #: Component labels are broadcast up to so many nodes (16 bytes each), else joined by shuffle.
 BROADCAST_NODES = 200_000
+#: A shingle of more rows than this is joined by size classes too; below, the pairs of its rows are few.
+HOT_ROWS = 64
+#: Sizes within this ratio are one class.
+CLASS = 1.04
 #: Columns of the signature matrix worked on at a time.
 BLOCK = 256
 
@@ -188,8 +196,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _open(placed: DataFrame, key: str) -> DataFrame:
     """Keys whose members are in several components, with the largest of these."""
     sizes = placed.groupBy(key, "comp").agg(F.count("*").alias("c"))
-    return sizes.groupBy(key).agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("largest")).where(
-        "comps > 1").drop("comps")
+    return sizes.groupBy(key).agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("largest"),
+                                  F.sum("c").alias("members")).where("comps > 1").drop("comps")
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
@@ -206,6 +214,39 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     return ranked.where((F.col("at") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100")) & (F.col("f") > 1)).drop("f")
 
 
+def _class(size):
+    return F.floor(F.log(size) / math.log(CLASS)).cast("int")
+
+
+def _allowed(at: str, n: str, percent: int) -> tuple:
+    """Least and greatest size of a set that may reach the threshold with one of size ``n``, if their first common
+    shingle is at ``at`` there."""
+    low = F.expr(f"({percent} * {n} + 99) div 100")
+    high = F.least(F.expr(f"100 * {n} div {percent}"), F.expr(f"{100 + percent} * ({n} - {at}) div {percent} - {n}"))
+    return low, high
+
+
+def _meeting(keyed: DataFrame, percent: int) -> DataFrame:
+    """(node, n, shingle, at, comp) -> pairs of rows in different components that meet at a shingle: node, n, at,
+    comp and pivot, m, pivot_at, pivot_comp. Of a hot shingle only rows that allow each other's size class meet."""
+    here = split_join(keyed, _open(keyed, "shingle"), ["shingle"])
+    low, high = _allowed("at", "n", percent)
+    here = cut(here.withColumns({"low": low, "high": high}).where("low <= high"), "meeting")
+    # members outside the largest component meet all: at most four times the pairs between components
+    others = here.where("comp <> largest").select(
+        "shingle", "members", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("at").alias("pivot_at"),
+        F.col("comp").alias("pivot_comp"), "low", "high")
+    columns = ["node", "n", "at", "comp", "pivot", "m", "pivot_at", "pivot_comp"]
+    few = split_join(here.where(f"members <= {HOT_ROWS}").drop("low", "high"), others.where(f"members <= {HOT_ROWS}").select(
+        "shingle", "pivot", "m", "pivot_at", "pivot_comp"), ["shingle"]).select(*columns)
+    partners = F.explode(F.sequence(_class(F.col("low")), _class(F.col("high"))))
+    left = here.where(f"members > {HOT_ROWS}").select("shingle", "node", "n", "at", "comp", _class(F.col("n")).alias("mine"),
+                                                      partners.alias("yours"))
+    right = others.where(f"members > {HOT_ROWS}").select("shingle", "pivot", "m", "pivot_at", "pivot_comp",
+                                                         _class(F.col("m")).alias("yours"), partners.alias("mine"))
+    return few.unionByName(split_join(left, right, ["shingle", "mine", "yours"]).select(*columns))
+
+
 def _links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(node, root) over classes (node, n, bands): components of the exact links; None without any."""
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -230,12 +271,8 @@ def _links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     placed = cut(placed.select("bucket", "node", "comp"), "placed")
     left = cut(split_join(placed, _open(placed, "bucket").select("bucket"), ["bucket"]).select("node", "comp").distinct(), "open")
     keyed = cut(split_join(_rarest(split_join(sets, left.select("node"), ["node"], "left_semi"), percent), left, ["node"]), "rarest")
-    here = split_join(keyed, _open(keyed, "shingle"), ["shingle"])
-    # members outside the largest component meet all: at most four times the pairs between components
-    others = here.where("comp <> largest").select("shingle", F.col("node").alias("pivot"), F.col("n").alias("m"),
-                                                  F.col("at").alias("pivot_at"), F.col("comp").alias("pivot_comp"))
     need = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
-    met = split_join(here, others, ["shingle"]).where(
+    met = _meeting(keyed, percent).where(
         (F.col("comp") != F.col("pivot_comp")) & _compatible(percent)
         & (F.col("at") <= F.col("n") - need) & (F.col("pivot_at") <= F.col("m") - need))
     links = cut(links.union(_verified(_pairs(met), sets, percent)), "verified")

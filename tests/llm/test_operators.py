@@ -463,3 +463,30 @@ def test_classifier_ranks_held_out_rows(spark):
     good, bad = [s for s, k in rows if k == 1], [s for s, k in rows if k == 0]
     auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
     assert auc >= 0.95
+
+
+def framed(count, frame=160, own=20, jitter=0):
+    """Texts that share a frame of words and have some of their own: three-word shingles, similarity about 0.8."""
+    rnd = random.Random(11)
+    shared = " ".join(f"f{k}" for k in range(frame))
+    return [shared + " " + " ".join(f"o{i}x{k}" for k in range(own + rnd.randint(-jitter, jitter))) for i in range(count)]
+
+
+def test_pairs_of_a_page_frame_grow_with_the_texts(spark):
+    """Texts just below the threshold share their rarest common shingles, but do not meet."""
+    met = {}
+    for count in (500, 1000, 2000):
+        texts = framed(count)
+        sets = [near_dedup.shingle_set(t, 3).view(np.int64).tolist() for t in texts]
+        a, b = set(sets[0]), set(sets[1])
+        assert 0.76 < len(a & b) / len(a | b) < 0.85
+        frame = spark.createDataFrame(list(enumerate(sets)), "node long, set array<long>")
+        ranked = near_dedup._rarest(frame, 85).withColumn("comp", F.col("node"))
+        hot = ranked.groupBy("shingle").count().where(F.col("count") == count).count()
+        met[count] = near_dedup._meeting(ranked, 85).count()
+        assert hot > 0 and met[count] <= 4 * count
+    docs = documents(spark, framed(300, jitter=6) + framed(40)[:20])
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    _, roots = brute_components(texts, 3, 85)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_copies(docs, words=3, percent=85).collect()}
+    assert got == dict(enumerate(roots))
