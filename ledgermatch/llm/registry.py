@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermatch.llm import (bpe, chat_format, exact_dedup, fingerprints, license_scan, manifest, mixing, near_dedup, packing,
-                             quality, sharding, structure_repair, url_filters)
+                             quality, registry_sql, sharding, structure_repair, url_filters)
 from ledgermatch.llm.common import cut, pick
 
 #: Rules of the URL query: verdict, host, path.
@@ -215,18 +215,34 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id""",
 }
 
-_BLOCK = fingerprints.BLOCK
 
 
-def _root(column: str) -> str:
-    sections = f"regexp_extract_all({column}, '{fingerprints.SECTION}')"
-    paragraphs = f"list_transform(regexp_extract_all(s, '{fingerprints.PARAGRAPH}'), lambda p: sha256('p' || p))"
-    return f"sha256('r' || array_to_string(list_transform({sections}, lambda s: sha256('s' || array_to_string({paragraphs}, ''))), ''))"
+def _tree_sql(name: str, text: str) -> str:
+    """CTE columns of a text's tree: blocks by paragraph, digests, sections, and each paragraph's section."""
+    return f"""
+{name}1 AS (
+  SELECT *, list_transform(regexp_extract_all({text}, '{fingerprints.PARAGRAPH}'),
+                           lambda p: regexp_extract_all(p, '{fingerprints.BLOCK}')) AS {name}_blocks
+  FROM %s),
+{name}2 AS (
+  SELECT *, regexp_extract_all(array_to_string(list_transform({name}_blocks, lambda bs: sha256(
+              'p' || array_to_string(list_transform(bs, lambda b: sha256(b)), ''))), ''), '{fingerprints.SECTION}') AS {name}_secs
+  FROM {name}1),
+{name}3 AS (
+  SELECT *, sha256('r' || array_to_string(list_transform({name}_secs, lambda s: sha256('s' || s)), '')) AS {name}_root,
+         list_zip(flatten(list_transform({name}_secs, lambda s: list_transform(range(len(s) // 64), lambda i: s))), {name}_blocks) AS {name}_leaves
+  FROM {name}2)"""
 
 
-def _likeness(a: str, b: str) -> str:
-    return (f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE "
-            f"2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END")
+def _opened_sql(leaves: str, common: str) -> str:
+    return f"flatten(list_transform(list_filter({leaves}, lambda x: NOT list_contains({common}, x[1])), lambda x: x[2]))"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    closed = f"(len(flatten({a}_blocks)) + len(flatten({b}_blocks)) - len({a}_{b}_a) - len({a}_{b}_b))"
+    both = f"({closed} + len(list_distinct({a}_{b}_a)) + len(list_distinct({a}_{b}_b)))"
+    return (f"CASE WHEN {both} = 0 THEN 1.0::DOUBLE ELSE "
+            f"({closed} + 2.0::DOUBLE * len(list_intersect({a}_{b}_a, {a}_{b}_b))) / {both} END")
 
 
 ORACLE_SQL["op8_fingerprints"] = rf"""
@@ -234,16 +250,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))
 n AS (
   SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text FROM d),
 e AS (
-  SELECT *, left(text, n_chars - n_chars // 4) || left(next_text, n_chars // 4) AS edited FROM n),
-b AS (
-  SELECT *, list_distinct(regexp_extract_all(text, '{_BLOCK}')) AS own,
-         list_distinct(regexp_extract_all(edited, '{_BLOCK}')) AS changed,
-         list_distinct(regexp_extract_all(next_text, '{_BLOCK}')) AS following
-  FROM e)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_root("text")} AS fingerprint,
-       {_root("edited")} AS edited_fingerprint, {_likeness("own", "changed")} AS near_edited,
-       {_likeness("own", "following")} AS near_next
-FROM b"""
+  SELECT *, left(text, n_chars - n_chars // 4) || left(next_text, n_chars // 4) AS edited_text FROM n),
+{_tree_sql("own", "text") % "e"}, {_tree_sql("edited", "edited_text") % "own3"}, {_tree_sql("next", "next_text") % "edited3"},
+c AS (
+  SELECT *, list_intersect(own_secs, edited_secs) AS with_edited, list_intersect(own_secs, next_secs) AS with_next FROM next3),
+o AS (
+  SELECT *, {_opened_sql("own_leaves", "with_edited")} AS own_edited_a, {_opened_sql("edited_leaves", "with_edited")} AS own_edited_b,
+         {_opened_sql("own_leaves", "with_next")} AS own_next_a, {_opened_sql("next_leaves", "with_next")} AS own_next_b
+  FROM c)
+SELECT doc_id, n_chars, sha256(edited_text) AS edited_sha256, own_root AS fingerprint, edited_root AS edited_fingerprint,
+       {_likeness_sql("own", "edited")} AS near_edited, {_likeness_sql("own", "next")} AS near_next
+FROM o"""
+
+ORACLE_SQL["op12_structure_repair"] = registry_sql.REPAIR
+ORACLE_SQL["op13_manifest"] = registry_sql.MANIFEST
 
 ORACLE_SQL["op10_near_dedup"] = r"""
 WITH RECURSIVE w AS (

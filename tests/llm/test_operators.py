@@ -314,8 +314,28 @@ def test_changed_paragraphs(spark):
     lines = [f"paragraph {i}\n" for i in range(30)]
     other = lines[:11] + ["edited\n"] + lines[12:]
     df = spark.createDataFrame([("".join(lines), "".join(other))], "a string, b string")
-    at = df.select(fingerprints.changed(fingerprints.tree(F.col("a")), fingerprints.tree(F.col("b"))).alias("c")).first().c
-    assert [(x.section, x.paragraph) for x in at] == [(1, 3)]
+    old, new = fingerprints.tree(F.col("a")), fingerprints.tree(F.col("b"))
+    r = df.select(fingerprints.changed(old, new).alias("c"), new.alias("t")).first()
+    assert [sum(len(s.paragraphs) for s in r.t[:x.section]) + x.paragraph for x in r.c] == [11]
+
+
+def test_small_edits_keep_likeness_and_far_sections(spark):
+    """One word or line more changes what is around it; everything else keeps its digests."""
+    r = random.Random(9)
+    line = " ".join("".join(r.choice("abcdefghilmnopqrstu") for _ in range(r.randrange(2, 9))) for _ in range(400))
+    lines = [" ".join(f"{r.choice(['plain', 'word', 'text', 'of', 'a'])}{r.randrange(99)}" for _ in range(9)) for _ in range(80)]
+    words = line.split()
+    cases = [(line, "new " + line), (line, " ".join([*words[:200], "new", *words[200:]])), (line, " ".join(words[:90] + words[91:])),
+             ("\n".join(lines), "\n".join(["an inserted line", *lines])), ("\n".join(lines), "\n".join(lines[:40] + lines[41:])),
+             (line, line), ("", ""), ("", line), (line, " ".join(reversed(words)))]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a string, b string")
+    pairs = fingerprints.with_tree(fingerprints.with_tree(df, "a", "a"), "b", "b")
+    got = [r.near for r in fingerprints.with_likeness(pairs, "a_leaves", {"near": "b_leaves"}).orderBy("k").collect()]
+    assert all(0.9 < x < 1 for x in got[:5]) and got[5:8] == [1.0, 1.0, 0.0] and got[8] < 0.9
+    trees = df.where("k in (3, 4)").select(fingerprints.tree(F.col("a")).alias("a"), fingerprints.tree(F.col("b")).alias("b")).collect()
+    for t in trees:
+        a, b = {s.digest for s in t.a}, {s.digest for s in t.b}
+        assert len(a) >= 5 and len(a - b) <= 2 and len(b - a) <= 2
 
 
 # --- 9 packing ------------------------------------------------------------------------------
