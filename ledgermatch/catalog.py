@@ -99,6 +99,11 @@ def _swap_groups(led):
     return R.swap_groups(led.swap_transactions)
 
 
+@register("swap_key_values")
+def _key_values(led):
+    return R.key_values(led)
+
+
 @register("wallet_dup_window")
 def _dup_window(led):
     return R.wallet_swap_review(led).select("wallet_record_id", "country", "transaction_id", "wallet_count")
@@ -708,7 +713,7 @@ def _gold_swap(spark, sf_dir):
 
 @register_raw("gold_summary_groups")
 def _gold_summary(spark, sf_dir):
-    return Q.summary_groups(GOLD.read(spark, _gold_root(spark, sf_dir), "reconciliation"))
+    return Q.summary_groups(GOLD.read(spark, _gold_root(spark, sf_dir), "reconciliation", arrays=False))
 
 
 @register_raw("gold_tracking_summary")
@@ -748,7 +753,7 @@ def _gold_refresh(spark, sf_dir):
     rev = adapter._signature(sf_dir)
     GOLD.refresh(spark, root, ledgers(spark, sf_dir), revision=rev)
     versions = store.committed(spark, root, GOLD.GOLD).where(F.col("note") == rev).select(F.lit(1).alias("v"), F.lit(0).alias("r"))
-    rows = GOLD.read(spark, root, "reconciliation").select(F.lit(0).alias("v"), F.lit(1).alias("r"))
+    rows = GOLD.read(spark, root, "reconciliation", arrays=False).select(F.lit(0).alias("v"), F.lit(1).alias("r"))
     return versions.unionByName(rows).agg(F.sum("v").cast("long").alias("versions"), F.sum("r").cast("long").alias("rows"))
 
 

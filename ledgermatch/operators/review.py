@@ -90,6 +90,37 @@ def _swap_aggs(is_swap: Column, ok: Column) -> list[Column]:
     ]
 
 
+#: Kinds of listed values and the review's array of them; ``references`` and ``methods`` may hold NULL.
+LISTED = {"reference": "swap_references", "customer": "customer_ids", "method": "successful_payment_methods"}
+
+
+def key_values(led: Ledgers) -> DataFrame:
+    """R2 + R4 as rows: the distinct values that a debit's key lists, once per key: country, transaction_id, kind, value.
+
+    A review shows them on every debit of the key, so d debits and s swaps of one id are d x s
+    array elements there, and d + s rows here. Distinct comes before any collecting, with map-side
+    partial aggregation, and a hot key's values are rows that spread over tasks."""
+    swaps = led.swap_transactions.filter(F.col("transaction_id").isNotNull() & F.col("country").isNotNull())
+    ok = F.col("status") == C.SWAP_SUCCESS
+    listed = F.array(
+        F.struct(F.lit("reference").alias("kind"), F.col("swap_reference").alias("value")),
+        F.when(F.col("customer_id").isNotNull(), F.struct(F.lit("customer").alias("kind"), F.col("customer_id").alias("value"))),
+        F.when(ok, F.struct(F.lit("method").alias("kind"), F.col("payment_method").alias("value"))))
+    rows = swaps.select("country", "transaction_id", F.explode(F.array_compact(listed)).alias("v")).select(
+        "country", "transaction_id", "v.kind", "v.value").distinct()
+    keys = eligible_debits(led.wallet_transactions).select(F.col("country").alias("_c"), F.col("transaction_id").alias("_t")).distinct()
+    return split_join(rows, keys, [("country", "_c"), ("transaction_id", "_t")], "left_semi")
+
+
+def with_arrays(lean: DataFrame, values: DataFrame) -> DataFrame:
+    """A review without its arrays plus the arrays of ``key_values`` rows (for outputs that show them)."""
+    item = F.struct(F.col("value").alias("v"))
+    by = values.groupBy(F.col("country").alias("_c"), F.col("transaction_id").alias("_t")).agg(*[
+        arrays.empty_to_null(F.array_sort(F.transform(F.collect_list(F.when(F.col("kind") == kind, item)), lambda e: e["v"]))).alias(name)
+        for kind, name in LISTED.items()])
+    return split_join(lean, by, [("country", "_c"), ("transaction_id", "_t")], "left").drop("_c", "_t")
+
+
 def key_statistics(debits: DataFrame, swap_transactions: DataFrame) -> DataFrame:
     """Per normalised key: debit count and swap statistics (swap side only for
     keys with both identifiers present -- NULL never equals NULL there)."""

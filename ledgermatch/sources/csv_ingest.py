@@ -31,7 +31,7 @@ from . import records as REC
 
 # --- fixed values: parsing guards -----------------------------------------
 DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
-TIMESTAMP_RE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+TIMESTAMP_RE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 OFFSET_RE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)$"
 DECIMAL_RE = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 NON_FINITE_RE = r"(?i)^\s*[+-]?(nan|snan|inf|infinity)\s*$"
@@ -70,8 +70,8 @@ def header_audit(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.transform(F.col("_hits"), lambda ds: ds).alias("candidate_datasets"),
         F.when(F.size("_hits") == 1, F.element_at("_hits", 1)).alias("dataset"),
         dup.alias("duplicate_headers"),
-        F.when(dup, F.lit("CSV has duplicate column headers."))
-        .when(F.size("_hits") != 1, F.lit("Not a complete Wallets, Wallet Transactions or Swapping Transactions export."))
+        F.when(dup, F.lit("A column header occurs twice."))
+        .when(F.size("_hits") != 1, F.lit("The headers fit none of the three export layouts."))
         .alias("problem"),
     )
 
@@ -100,7 +100,7 @@ def _parse(raw: Column, kind: str, field: str) -> tuple[Column, Column]:
     v = _blank_to_null(raw)
     none = F.lit(None).cast("string")
     if kind == "required":
-        return v, F.when(v.isNull(), F.lit(f"Missing required {field}"))
+        return v, F.when(v.isNull(), F.lit(f"{field} is empty but required"))
     if kind == "text":
         return v, none
     if kind == "decimal":
@@ -115,18 +115,19 @@ def _parse(raw: Column, kind: str, field: str) -> tuple[Column, Column]:
         exact = (zeros == F.length(digits)) | (frac_digits - exponent - zeros <= S.MONEY.scale)
         ok = v.rlike(DECIMAL_RE) & cast.isNotNull() & F.coalesce(exact, F.lit(False))
         err = (F.when(v.isNull(), none)
-               .when(v.rlike(NON_FINITE_RE), F.lit(f"Non-finite decimal in {field}"))
-               .when(~ok, F.lit(f"Invalid decimal in {field}")))
+               .when(v.rlike(NON_FINITE_RE), F.lit(f"{field} holds no finite amount"))
+               .when(~ok, F.lit(f"{field} is not a decimal number")))
         return F.when(ok, cast), err
     if kind == "date":
         cast = F.when(v.rlike(DATE_RE), v.try_cast(T.DateType()))
-        return cast, F.when(v.isNotNull() & cast.isNull(), F.lit(f"Invalid date in {field}"))
+        return cast, F.when(v.isNotNull() & cast.isNull(), F.lit(f"{field} is not a date"))
     if kind == "timestamp":
-        cast = F.when(v.rlike(TIMESTAMP_RE), v.try_cast(T.TimestampNTZType()))
+        # digits beyond the microsecond are cut off, as a datetime has no place for them
+        cast = F.when(v.rlike(TIMESTAMP_RE), F.regexp_replace(v, r"(\.\d{6})\d+$", "$1").try_cast(T.TimestampNTZType()))
         err = (F.when(v.isNull(), none)
                .when(v.rlike(OFFSET_RE),
-                     F.lit(f"{field} has a timezone offset; these tables are for naive CSV timestamps"))
-               .when(cast.isNull(), F.lit(f"Invalid timestamp in {field}")))
+                     F.lit(f"{field} carries a zone offset; stored times have none"))
+               .when(cast.isNull(), F.lit(f"{field} is not a timestamp")))
         return cast, err
     raise ValueError(f"Unknown field type {kind}")
 
@@ -173,7 +174,7 @@ def read_typed(spark: SparkSession, files: list[str], dataset: str, headers: lis
     raw_record = F.to_json(F.struct(*[F.coalesce(by_header[h], F.lit("")).alias(h) for h in kept]))
     reason = F.coalesce(
         F.when(F.col("_oversize") | (longest > REC.MAX_FIELD), F.lit(f"has a field of more than {REC.MAX_FIELD} characters")),
-        F.when(F.col(CORRUPT).isNotNull(), F.lit("has the wrong number of fields")),
+        F.when(F.col(CORRUPT).isNotNull(), F.lit("does not have as many fields as the header")),
         *errors)
     stamped = raw.select(
         *typed, *scales, "source_file", "source_row_number", raw_record.alias("raw_record"),
@@ -319,10 +320,10 @@ def inspect(spark: SparkSession, paths: str | list[str], countries: tuple[str, .
     counts, by_country, by_status = validate_preview(res.rows, dataset, countries)
     c = counts.first()
     if c.first_bad_country_record is not None:
-        raise ValueError(f"Record {c.first_bad_country_record}: Country must be one of "
-                         f"{', '.join(countries)}. Check the export filter.")
+        raise ValueError(f"Record {c.first_bad_country_record}: the country is none of "
+                         f"{', '.join(countries)}.")
     if c.rows == 0:
-        raise ValueError("This CSV has headers but no data records.")
+        raise ValueError("No record follows the headers.")
     return {"dataset": dataset, "module": DATASET_MODULES[dataset], "rows": c.rows,
             "distinct_record_ids": c.distinct_record_ids, "duplicate_record_id_rows": c.duplicate_record_id_rows,
             "countries": {r.country: r.rows for r in by_country.collect()},

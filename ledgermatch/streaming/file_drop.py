@@ -76,7 +76,7 @@ def import_batch(spark: SparkSession, paths: list[str], root: str, gold_root: st
                 failures.append((path, ds, r["error"], dt.datetime.now(dt.timezone.utc)))
             else:
                 results.append(r)
-    unknown = [(p, None, "Not a complete export.", dt.datetime.now(dt.timezone.utc))
+    unknown = [(p, None, "The headers fit none of the three export layouts.", dt.datetime.now(dt.timezone.utc))
                for p, d in audit.items() if d is None]
     unknown += [(p, None, "The file is empty.", dt.datetime.now(dt.timezone.utc)) for p in sorted(empty)]
     if failures or unknown:

@@ -67,12 +67,12 @@ def test_bad_values_are_rejected_with_record_and_field(spark, folder):
     path = write_csv(folder, "bad.csv", "wallet_master", rows)
     rej = {r.source_row_number: r.reject_reason for r in I.ingest(spark, path)["wallet_master"].rejects.collect()}
     assert rej == {
-        1: "record 1: Non-finite decimal in Available Balance",
-        2: "record 2: Invalid decimal in Available Balance",
-        4: "record 4: Non-finite decimal in Available Balance",
-        5: "record 5: Invalid decimal in Available Balance",
-        6: "record 6: Created On has a timezone offset; these tables are for naive CSV timestamps",
-        7: "record 7: Missing required Record Id",
+        1: "record 1: Available Balance holds no finite amount",
+        2: "record 2: Available Balance is not a decimal number",
+        4: "record 4: Available Balance holds no finite amount",
+        5: "record 5: Available Balance is not a decimal number",
+        6: "record 6: Created On carries a zone offset; stored times have none",
+        7: "record 7: Record Id is empty but required",
     }
 
 
@@ -93,10 +93,10 @@ def test_wrong_field_count_and_incomplete_headers(spark, folder):
     with open(path, "a", encoding="utf-8") as f:
         f.write("zcrm_t2,TX-78\r\n")
     rej = I.ingest(spark, path)["wallet"].rejects.collect()
-    assert [r.reject_reason for r in rej] == ["record 2: has the wrong number of fields"]
+    assert [r.reject_reason for r in rej] == ["record 2: does not have as many fields as the header"]
     other = tempfile.mkdtemp(prefix="run-ingest-", dir="/tmp")
     bad = write_csv(other, "partial.csv", "wallet", [WALLET], drop=("Amount",))
-    with pytest.raises(ValueError, match="Not a complete"):
+    with pytest.raises(ValueError, match="fit none of the three"):
         I.ingest(spark, bad)
 
 
@@ -179,11 +179,11 @@ def test_inspect_preview_and_its_errors(spark, folder):
     assert p["statuses"] == {"SUCCESS": 1, "Unspecified": 1} and p["export_cap_warning"] is False
     other = tempfile.mkdtemp(prefix="run-ingest-", dir="/tmp")
     bad = write_csv(other, "ug.csv", "swap", [SWAP, dict(SWAP, **{"Record Id": "s2", "Country": "Uganda"})])
-    with pytest.raises(ValueError, match="Record 2: Country must be"):
+    with pytest.raises(ValueError, match="Record 2: the country is none of"):
         I.inspect(spark, bad, ("Kenya", "Rwanda"))
     third = tempfile.mkdtemp(prefix="run-ingest-", dir="/tmp")
     empty = write_csv(third, "empty.csv", "swap", [])
-    with pytest.raises(ValueError, match="no data records"):
+    with pytest.raises(ValueError, match="No record follows"):
         I.inspect(spark, empty)
 
 

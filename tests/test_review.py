@@ -213,3 +213,53 @@ def test_review_report_publishes_only_when_counts_agree(led_a, spark, monkeypatc
     with pytest.raises(RuntimeError, match="does not agree"):
         E.write_review_report(spark, recon, root)
     assert store.latest_version(spark, root, "reconciliation_report") == 1  # nothing published
+
+
+def test_difference_opens_only_ranges_that_differ(spark):
+    """Multisets with NULLs, empty texts, arrays and repeats; ranges are compared before rows."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from ledgermatch.sinks import gold
+
+    rows = [(k, None if k % 7 == 0 else "" if k % 5 == 0 else f"x{k % 3}", [str(k % 4), None]) for k in range(400)] + [(1, "x1", ["1", None])] * 3
+    a = spark.createDataFrame(rows, "k int, t string, l array<string>")
+    b = a.where("k <> 9").unionByName(spark.createDataFrame([(9, "other", ["1", None]), (1, "x1", ["1", None]), (35, "", ["3", None])], a.schema))
+    assert gold.difference(a, a.orderBy(F.desc("k"))).first() == (0, 0) and gold.differing_ranges(a, a).count() == 0
+    left, right = (Counter(str(tuple(r)) for r in df.collect()) for df in (a, b))
+    assert gold.difference(a, b).first() == (sum((left - right).values()), sum((right - left).values()))
+    assert 0 < gold.differing_ranges(a, b).count() <= 4
+    named = gold.differing_rows(a, b).where("_side = 'left'").collect()
+    assert [r.k for r in named] == [9]
+
+
+def test_listed_values_are_stored_once_per_key(spark):
+    """60 debits and 50 swaps of one id: 50 references and a few more values, not 60 x 50."""
+    import tempfile
+
+    from conftest import Builder
+
+    from ledgermatch.sinks import gold, store
+
+    b = Builder()
+    for k in range(60):
+        b.wallet(f"d{k}", tx="hot")
+    for k in range(50):
+        b.swap(f"s{k}", tx="hot", customer=f"c{k % 3}" if k % 4 else None, method=None if k % 10 == 0 else "WALLET",
+               status="FAILED" if k % 2 else "SUCCESS")
+    b.wallet("alone", tx="none")
+    b.wallet("null", tx=None)
+    b.swap("unmatched", tx="other")
+    led = b.ledgers(spark)
+    values = R.key_values(led).collect()
+    assert {r.transaction_id for r in values} == {"hot"} and len(values) <= 50 + 3 + 2
+    root = tempfile.mkdtemp(prefix="run-gold-", dir="/tmp")
+    assert gold.refresh(spark, root, led, "r1")
+    lean = gold.read(spark, root, "reconciliation", arrays=False)
+    assert not set(R.LISTED.values()) & set(lean.columns)
+    assert store.read(spark, root, gold.GOLD, part=gold.VALUES).count() == len(values)
+    live = R.backend_reconciliation(led)
+    assert gold.difference(gold.read(spark, root, "reconciliation").drop("wallet_imported_at"), live.drop("wallet_imported_at")).first() == (0, 0)
+    plan = gold.build(led)["reconciliation"].drop(*R.LISTED.values())._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
