@@ -278,12 +278,19 @@ def records(spark: SparkSession, files: list[str], limit: int = 64 * MAX_FIELD)
     return whole.unionByName(torn)
 
 
-def _one_file_a_task(spark: SparkSession) -> SparkSession:
-    """A session that reads every file in one split and one task of its own, in small batches."""
-    own = spark.newSession()
-    own.conf.set("spark.sql.files.maxPartitionBytes", str(WHOLE_FILE))
-    own.conf.set("spark.sql.files.openCostInBytes", str(WHOLE_FILE))
-    return own
+_SESSIONS: dict[tuple[str, int], SparkSession] = {}
+
+
+def _one_file_a_task(spark: SparkSession, batch_rows: int) -> SparkSession:
+    """A session of the same application that reads every file in one split and one task of its own."""
+    key = (spark.sparkContext.applicationId, batch_rows)
+    if key not in _SESSIONS:
+        own = spark.newSession()
+        own.conf.set("spark.sql.files.maxPartitionBytes", str(WHOLE_FILE))
+        own.conf.set("spark.sql.files.openCostInBytes", str(WHOLE_FILE))
+        own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+        _SESSIONS[key] = own
+    return _SESSIONS[key]
 
 
 def heads(spark: SparkSession, paths: list[str], limit: int = 64 * MAX_FIELD) -> DataFrame:
@@ -292,8 +299,7 @@ def heads(spark: SparkSession, paths: list[str], limit: int = 64 * MAX_FIELD) ->
     A task takes lines until the record is whole and leaves the rest of its file unread.
     """
     ship(spark)
-    own = _one_file_a_task(spark)
-    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    own = _one_file_a_task(spark, 16)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, held, length = False, [], 0
@@ -325,36 +331,34 @@ def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
     Spark's sources do not list files without a byte, so these have no row.
 
     Lines come without their breaks, and without a byte order mark; how many bytes that is less
-    than the file's size says whether there was a mark and whether the last line is ended.
+    than the file's size says, at the end, whether there was a mark and whether the last line is ended. So
+    two digests run along, with a mark and without.
     """
     ship(spark)
-    own = _one_file_a_task(spark)
+    own = _one_file_a_task(spark, 10_000)
     lines = _lines(own, paths).select(F.col("value").cast("binary").alias("value"), "path", "name", "size")
-    shorts = _lines(own, paths).groupBy("path").agg((F.max("size") - F.sum(F.octet_length("value") + 1)).alias("short"))
-    target = scratch_path(spark, "file-lengths")
-    shorts.write.parquet(target)
-    shorts = own.read.schema("path string, short bigint").parquet(target)
-    small = F.broadcast(shorts) if shorts.count() <= BROADCAST_RANGES else shorts
-    mark = codecs.BOM_UTF8
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = spot = None
+        spot, between, read = None, b"", 0
+        hashers = hashlib.sha256(), hashlib.sha256(codecs.BOM_UTF8)
         for b in batches:
             if not b.num_rows:
                 continue
-            if hasher is None:
-                spot = [b.column(c)[0].as_py() for c in ("name", "size", "short", "path")]
-                hasher, between = hashlib.sha256(mark if spot[2] >= 2 else b""), b""
-            hasher.update(between + b"\n".join(b.column("value").to_pylist()))
-            between = b"\n"
-        if hasher is not None:
-            hasher.update(b"\n" if spot[2] in (0, 3) else b"")
-            yield pa.RecordBatch.from_arrays([pa.array([spot[0]]), pa.array([spot[3]]), pa.array([hasher.hexdigest()]),
-                                              pa.array([spot[1]], pa.int64())], ["source_file", "path", "sha256", "bytes"])
-
-    known = lines.join(small, "path")
+            if spot is None:
+                spot = [b.column(c)[0].as_py() for c in ("name", "path", "size")]
+            data = between + b"\n".join(b.column("value").to_pylist())
+            for hasher in hashers:
+                hasher.update(data)
+            between, read = b"\n", read + len(data)
+        if spot is not None:
+            left = spot[2] - read  # 3 for a mark, 1 for a line break at the end
+            hasher = hashers[left >= 3]
+            hasher.update(b"\n" if left in (1, 4) else b"")
+            yield pa.RecordBatch.from_arrays([pa.array([spot[0]]), pa.array([spot[1]]), pa.array([hasher.hexdigest()]),
+                                              pa.array([spot[2]], pa.int64())], ["source_file", "path", "sha256", "bytes"])
+
     found = scratch_path(spark, "digests")
     schema = "source_file string, path string, sha256 string, bytes bigint"
-    known.mapInArrow(work, schema).write.parquet(found)
+    lines.mapInArrow(work, schema).write.parquet(found)
     return spark.read.schema(schema).parquet(found).select(
         "source_file", plain_path(F.col("path")).alias("file_path"), "sha256", "bytes")
