@@ -136,19 +136,32 @@ def tokenised(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, dtype = _encoder(tokenizer)
         end, task = np.asarray([end_id], dtype).tobytes(), TaskContext.get().partitionId()
-        part, before = None, 0
+        file = first = None
+        before = 0
         for b in batches:
+            if not b.num_rows:
+                continue
             ids = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()])]
-            parts, places = [], []
-            for x, file, row in zip(ids, b.column("file").to_pylist(), b.column("row").to_pylist(), strict=True):
-                if part is None or part["file"] != file:
-                    part, before = {"file": file, "row": row, "task": task}, 0
-                parts.append(part)
-                places.append(before)
-                before += len(x) // dtype.itemsize
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // dtype.itemsize for x in ids], pa.int64()),
-                 pa.array(parts, spot), pa.array(places, pa.int64())], ["doc_id", "ids", "tokens", "part", "place"])
+            tokens = np.fromiter(map(len, ids), np.int64, len(ids)) // dtype.itemsize
+            files = b.column("file")
+            # a file's rows follow one another, so one at both ends fills the batch
+            if files[0].as_py() == files[-1].as_py():
+                borders = [0, len(ids)]
+            else:
+                names = files.to_pylist()
+                borders = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for lo, hi in zip(borders, borders[1:], strict=False):
+                if file != (files[lo].as_py(),):
+                    file, first, before = (files[lo].as_py(),), b.column("row")[lo].as_py(), 0
+                own, n = tokens[lo:hi], hi - lo
+                place = before + np.cumsum(own) - own
+                before += int(own.sum())
+                part = pa.StructArray.from_arrays(
+                    [pa.repeat(pa.scalar(file[0], pa.string()), n), pa.array(np.full(n, first), pa.int64()),
+                     pa.array(np.full(n, task), pa.int32())], fields=list(spot))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(lo, n), pa.array(ids[lo:hi], pa.binary()), pa.array(own), part,
+                     pa.array(place, pa.int64())], ["doc_id", "ids", "tokens", "part", "place"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return cut(df.mapInArrow(work, f"doc_id {kind}, ids binary, tokens bigint, part struct<file:string,row:bigint,task:int>, "
