@@ -55,7 +55,7 @@ BLOCK = 1 << 16
 CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
 #: Texts whose unknown words are merged together.
-ROWS = 2000
+ROWS = 1000
 #: A contraction has so many characters at most, so a match that starts later may still grow.
 CONTRACTION = 3
 
