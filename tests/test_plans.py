@@ -86,3 +86,12 @@ def test_summaries_build_no_per_key_arrays(led):
             led.wallets.sparkSession, SF)):
         text = plan_text(df)
         assert "collect_set" not in text, text
+
+
+def test_only_the_named_ledgers_and_exports_are_derived(spark, tmp_path, monkeypatch):
+    from ledgermatch.sources import adapter
+
+    monkeypatch.setattr(adapter, "work_root", lambda spark: str(tmp_path))
+    base = adapter.exports(spark, SF, "master_by_country")
+    assert [f.name for f in sorted(tmp_path.glob("*/*"))] == ["master_by_country", "wallets"]
+    assert base.startswith(str(tmp_path))
