@@ -88,6 +88,14 @@ def test_summaries_build_no_per_key_arrays(led):
         assert "collect_set" not in text, text
 
 
+def test_nothing_is_exchanged_once_debits_have_their_arrays(led, no_auto_broadcast):
+    """The join with the key statistics comes last: d debits and s swaps of a key are d x s array elements from there on."""
+    for df in (R.customer_review(led), R.backend_reconciliation(led)):
+        text = plan_text(df)
+        last = next(line for line in text.splitlines() if "Join" in line)
+        assert "Inner" in last and "Exchange" not in text.split(last)[0], text
+
+
 def test_only_the_named_ledgers_and_exports_are_derived(spark, tmp_path, monkeypatch):
     from ledgermatch.sources import adapter
 

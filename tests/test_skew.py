@@ -97,3 +97,27 @@ def test_hot_key_gaps_match_brute_force(spark, skew_conf):
     expected = {rid for rid, tx in zip(debits.zoho_record_id, debits.transaction_id)
                 if tx is None or tx not in swap_keys}
     assert {r.wallet_record_id for r in G.wallet_without_swap(led).collect()} == expected
+
+
+def test_candidates_of_a_hot_key_join_their_arrays_after_the_sort(spark):
+    from ledgermatch.sinks import exports as E
+
+    led, _, _ = _ledgers(spark)
+    plain = [tuple(r) for r in E.review_candidates(R.backend_reconciliation(led)).collect()]
+    for max_bytes in (E.SHARED_BYTES, 0):
+        df = E.live_candidates(led, max_bytes=max_bytes)
+        assert df.columns == list(E.REVIEW_EXPORT_FIELDS)
+        assert [tuple(r) for r in df.collect()] == plain
+    at = E.REVIEW_EXPORT_FIELDS.index("swap_references")
+    assert sum(r[at] is not None and r[at].startswith('["r0", "r1"') for r in plain) == N // 3
+
+
+def test_a_page_gets_the_arrays_of_its_keys(spark):
+    from ledgermatch.operators import query as Q
+
+    led, _, _ = _ledgers(spark)
+    recon = R.backend_reconciliation(led)
+    page = Q.page_frame(recon.drop(*R.LISTED.values()), limit=20)
+    assert "swap_references" not in page.columns
+    got = R.with_page_arrays(page, led).select(*Q.DETAIL_FIELDS).collect()
+    assert got == Q.page_frame(recon, limit=20).select(*Q.DETAIL_FIELDS).collect()
