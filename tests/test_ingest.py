@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
 import os
 import tempfile
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermatch import schema as S
 from ledgermatch.operators import merge as M
@@ -250,3 +252,14 @@ def test_configured_load_stops_at_a_bad_file_and_dry_run(spark, folder):
         M.dry_run(spark, {"wallet": [bad]})
     recent = M.recent_imports(spark, root).collect()
     assert [(r.module, r.source_file) for r in recent] == [("Wallet transactions", "jan_w.csv")]
+
+
+def test_one_file_changes_what_the_fold_of_its_list_changes(spark):
+    cols = "zoho_record_id string, source_modified_at timestamp_ntz, source_change_at timestamp_ntz, raw_record string"
+    day = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
+    stored = spark.createDataFrame([("a", day[1], None, "x"), ("b", day[1], None, "x"), ("c", day[1], None, "x"), ("d", None, None, None)], cols)
+    new = spark.createDataFrame([("a", day[0], None, "y"), ("b", day[1], None, "x"), ("c", day[1], day[2], "y"),
+                                 ("d", None, None, "z"), ("e", None, None, None), (None, day[0], None, "n")], cols).withColumn("file_no", F.lit(3))
+    fold, one = (sorted(map(str, f(new, stored).collect())) for f in (M.fold, M.changed_by_one))
+    assert fold == one and len(one) == 4
+    assert "collect_list" not in M.changed_by_one(new, stored)._jdf.queryExecution().toString()
