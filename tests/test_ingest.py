@@ -263,3 +263,31 @@ def test_one_file_changes_what_the_fold_of_its_list_changes(spark):
     fold, one = (sorted(map(str, f(new, stored).collect())) for f in (M.fold, M.changed_by_one))
     assert fold == one and len(one) == 4
     assert "collect_list" not in M.changed_by_one(new, stored)._jdf.queryExecution().toString()
+
+
+def test_a_file_without_repeated_ids_is_not_exchanged_whole(spark):
+    cols = "zoho_record_id string, source_modified_at timestamp_ntz, source_change_at timestamp_ntz, source_row_number long, raw_record string, file_no int"
+    day = [dt.datetime(2026, 1, d) for d in (1, 2)]
+    once = [("a", day[0], None, 1, "a1", 0), ("b", None, None, 2, "b1", 0), (None, day[0], None, 3, "n", 0)]
+    again = [("a", day[1], None, 1, "a2", 1), ("a", day[0], None, 2, "a3", 1), ("c", None, None, 3, "c1", 1), ("c", None, None, 4, "c2", 1)]
+    apart = M.newest_by_file(spark.createDataFrame(once, cols))
+    assert "max_by" not in apart._jdf.queryExecution().toString() and sorted(map(str, apart.collect())) == sorted(map(str, spark.createDataFrame(once, cols).collect()))
+    both = M.newest_by_file(spark.createDataFrame(once + again, cols)).select("zoho_record_id", "raw_record", "file_no").collect()
+    assert sorted(map(tuple, both), key=str) == sorted([("a", "a1", 0), ("b", "b1", 0), (None, "n", 0), ("a", "a2", 1), ("c", "c2", 1)], key=str)
+
+
+def test_a_field_is_cleaned_and_typed_once(spark, folder):
+    """Plain amounts and others give the same values, scales and errors; no expression is repeated for each that reads it."""
+    texts = ["7", "-0.50", "00012.340000000000", "1" * 26 + "." + "9" * 12, "1" * 27, "1.1234567890123", "1.1234567890120", " 1e2 ", "+5", ".5", "5.", "NaN", "-",
+             "1e-3", "x", "   "]
+    rows = [dict(WALLET, **{"Record Id": f"t{i}", "Amount": t}) for i, t in enumerate(texts)]
+    parsed = I.ingest(spark, write_csv(folder, "amounts.csv", "wallet", rows))["wallet"].parsed
+    got = {r.zoho_record_id: (r.amount, r.amount_scale, r.reject_message) for r in parsed.collect()}
+    bad, none = "Amount is not a decimal number", (None, None, None)
+    want = [(Decimal(7), 0, None), (Decimal("-0.5"), 2, None), (Decimal("12.34"), 12, None), (Decimal("1" * 26 + "." + "9" * 12), 12, None),
+            (None, None, bad), (None, None, bad), (Decimal("1.123456789012"), 13, None), (Decimal(100), 0, None), (Decimal(5), 0, None),
+            (Decimal("0.5"), 1, None), (Decimal(5), 0, None), (None, None, "Amount holds no finite amount"), (None, None, bad),
+            (Decimal("0.001"), 3, None), (None, None, bad), none]
+    assert [got[f"t{i}"] for i in range(len(texts))] == want
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(I.BLANK_RE) <= len(S.FIELD_MAPS["wallet"])
