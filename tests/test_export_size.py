@@ -54,3 +54,11 @@ def test_swap_export_is_made_of_narrow_rows(spark, tables, tmp_path):
            for r in spark.read.option("header", "true").csv(f).select("Record Id").collect()]
     kept = [x for x in ids if x is not None]
     assert ids == [None] * 130 + sorted(kept)
+
+
+def test_stored_ledgers_and_gold_are_compressed_well(spark, tables):
+    adapter.stored_ledger(spark, tables, "wallet_transactions")
+    gold = _local(catalog._gold_root(spark, tables))
+    for pattern in (f"{_ledger(spark, tables, 'wallet_transactions')}/*.parquet", f"{gold}/gold/v=*/reconciliation/*.parquet"):
+        files = glob.glob(pattern)
+        assert files and all(f.endswith(".zstd.parquet") for f in files)
