@@ -62,3 +62,16 @@ def test_stored_ledgers_and_gold_are_compressed_well(spark, tables):
     for pattern in (f"{_ledger(spark, tables, 'wallet_transactions')}/*.parquet", f"{gold}/gold/v=*/reconciliation/*.parquet"):
         files = glob.glob(pattern)
         assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_headers_are_audited_on_compressed_exports(spark, tables):
+    plain = _local(f"{work_root(spark)}/exports-{adapter._signature(tables)}")
+    got = catalog.REGISTRY["ingest_header_check"](spark, tables).collect()
+    assert not os.path.exists(f"{plain}/partial_wallet")  # no plain copy is written for an audit
+    audit = csv_ingest.header_audit(spark, f"{adapter.exports(spark, tables)}/*/*.csv").collect()
+    assert {(r.folder, r.columns, r.refused) for r in got} == {
+        (r.file_path.split("/")[-2], len(r.headers), r.problem is not None) for r in audit}
+    assert {r.folder: r.missing_for_wallet for r in got}["partial_wallet"] == "Amount|Type"
+    packed = adapter.exports(spark, tables, compression="gzip")
+    for name in ("swap", "late_wallet"):
+        assert sorted(_lines(spark, f"{packed}/{name}")) == sorted(_lines(spark, f"{plain}/{name}"))
