@@ -5,10 +5,15 @@ from __future__ import annotations
 import datetime as dt
 import glob
 import os
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermatch import catalog
+from ledgermatch import schema as S
+from ledgermatch.functions import arrays
+from ledgermatch.operators import review as R
 from ledgermatch.session import work_root
 from ledgermatch.sources import adapter, csv_ingest
 
@@ -75,3 +80,30 @@ def test_headers_are_audited_on_compressed_exports(spark, tables):
     packed = adapter.exports(spark, tables, compression="gzip")
     for name in ("swap", "late_wallet"):
         assert sorted(_lines(spark, f"{packed}/{name}")) == sorted(_lines(spark, f"{plain}/{name}"))
+
+
+def test_texts_of_a_shared_key_are_written_once_and_not_once_per_debit(spark, tmp_path, monkeypatch):
+    """customer_review and backend_reconciliation: the arrays of a key that 400 debits share, amid keys of one debit each.
+
+    A dictionary of 40 kB stands for the 1 MB of larger tables."""
+    def ledger(dataset, rows):
+        blank = dict.fromkeys(S.table_schema(dataset).fieldNames()) | {"source_file": "f", "source_row_number": 1, "raw_record": "{}"}
+        return spark.createDataFrame([tuple((blank | r).values()) for r in rows], S.table_schema(dataset))
+
+    def key(i, hot):
+        return {"transaction_id": "HOT" if hot else None if i % 50 == 7 else f"t{i}", "country": None if i % 40 == 3 else "Kenya"}
+
+    debits = [key(i, i < 400) | {"zoho_record_id": f"d{i}", "wallet_id": "w", "transaction_type": "Debit", "status": "Committed",
+                                 "settled_against": "Swap", "amount": Decimal("1.00")} for i in range(6000)]
+    swaps = [key(i, i < 400) | {"zoho_record_id": f"s{i}", "status": "SUCCESS", "swap_amount": Decimal("1.00"), "customer_id": f"c{i}",
+                                "swap_reference": None if i % 9 == 0 else f"reference-{i:08d}", "payment_method": "WALLET"} for i in range(6000)]
+    led = R.Ledgers(ledger("wallet_master", [{"zoho_record_id": "w", "country": "Kenya"}]), ledger("wallet", debits), ledger("swap", swaps))
+    monkeypatch.setattr(catalog, "ledgers", lambda spark, sf_dir: led)
+    for name, plain in (("customer_review", R.customer_review), ("backend_reconciliation", R.backend_reconciliation)):
+        got, want = catalog.REGISTRY[name](spark, ""), catalog.comparable(plain(led, shown=arrays.render))
+        assert got.dtypes == want.dtypes
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        got.write.option("compression", "none").option("parquet.dictionary.page.size", 40_000).parquet(str(tmp_path / name))
+        text = got.agg(F.sum(F.length("swap_references"))).first()[0]
+        written = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+        assert written < text / 2, (name, written, text)
