@@ -15,6 +15,8 @@ from ledgermatch import schema as S
 from ledgermatch.functions import arrays
 from ledgermatch.operators import review as R
 from ledgermatch.session import work_root
+from ledgermatch.sinks import exports as E
+from ledgermatch.sinks import gold as GOLD
 from ledgermatch.sources import adapter, csv_ingest
 
 
@@ -107,3 +109,51 @@ def test_texts_of_a_shared_key_are_written_once_and_not_once_per_debit(spark, tm
         text = got.agg(F.sum(F.length("swap_references"))).first()[0]
         written = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
         assert written < text / 2, (name, written, text)
+
+
+def _shared_key_ledgers(spark):
+    """400 debits and swaps share a key amid 5,600 keys of one debit each; some ids and countries are NULL."""
+    def ledger(dataset, rows):
+        blank = dict.fromkeys(S.table_schema(dataset).fieldNames()) | {"source_file": "f", "source_row_number": 1, "raw_record": "{}"}
+        return spark.createDataFrame([tuple((blank | r).values()) for r in rows], S.table_schema(dataset))
+
+    def key(i):
+        return {"transaction_id": "HOT" if i < 400 else None if i % 50 == 7 else f"t{i}",
+                "country": None if i >= 400 and i % 40 == 3 else "Kenya"}
+
+    debits = [key(i) | {"zoho_record_id": f"d{i}", "wallet_id": "w", "transaction_type": "Debit", "status": "Committed",
+                        "settled_against": "Swap", "amount": Decimal("1.00")} for i in range(6000)]
+    swaps = [key(i) | {"zoho_record_id": f"s{i}", "status": "SUCCESS", "swap_amount": Decimal("1.00"), "customer_id": f"customer-{i:08d}",
+                       "swap_reference": None if i % 9 == 0 else f"reference-{i:08d}", "payment_method": "WALLET"} for i in range(6000)]
+    return R.Ledgers(ledger("wallet_master", [{"zoho_record_id": "w", "country": "Kenya"}]), ledger("wallet", debits), ledger("swap", swaps))
+
+
+def _written_once(got, want, column, path):
+    assert got.dtypes == want.dtypes
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    got.write.option("compression", "none").option("parquet.dictionary.page.size", 40_000).parquet(str(path))
+    text = got.agg(F.sum(F.length(column))).first()[0]
+    written = sum(f.stat().st_size for f in path.glob("*.parquet"))
+    assert written < text / 2, (written, text)
+
+
+def test_status_review_and_lookup_check_write_shared_texts_once(spark, tmp_path, monkeypatch):
+    led = _shared_key_ledgers(spark)
+    monkeypatch.setattr(catalog, "ledgers", lambda spark, sf_dir: led)
+    _written_once(catalog.REGISTRY["wallet_swap_review"](spark, ""), catalog.comparable(R.wallet_swap_review(led)),
+                  "swap_references", tmp_path / "review")
+    want = R.customer_review(led).select("wallet_record_id", "wallet_customer_id", "customer_ids", "swap_customer_lookup_check")
+    _written_once(catalog.REGISTRY["customer_lookup_check"](spark, ""), catalog.comparable(want), "customer_ids", tmp_path / "lookup")
+
+
+def test_gold_reconciliation_writes_shared_texts_once(spark, tmp_path, monkeypatch):
+    led = _shared_key_ledgers(spark)
+    root = f"{tmp_path}/gold"
+    GOLD.refresh(spark, root, led, revision="1")
+    monkeypatch.setattr(catalog, "_gold_root", lambda spark, sf_dir: root)
+    want = catalog.comparable(GOLD.read(spark, root, "reconciliation", shown=arrays.render))
+    _written_once(catalog.REGISTRY["gold_reconciliation"](spark, ""), want, "swap_references", tmp_path / "out")
+    # above the bound the rows come as before
+    lean, values = GOLD.read(spark, root, "reconciliation", arrays=False), GOLD.store.read(spark, root, GOLD.GOLD, part=GOLD.VALUES)
+    plain = catalog.comparable(E.grouped_rows(lean, values, arrays.render, max_bytes=10))
+    assert plain.dtypes == want.dtypes and plain.exceptAll(want).isEmpty() and want.exceptAll(plain).isEmpty()
