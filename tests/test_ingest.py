@@ -6,6 +6,7 @@ import csv
 import datetime as dt
 import io
 import os
+import re
 import tempfile
 from decimal import Decimal
 
@@ -291,3 +292,20 @@ def test_a_field_is_cleaned_and_typed_once(spark, folder):
     assert [got[f"t{i}"] for i in range(len(texts))] == want
     plan = parsed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(I.BLANK_RE) <= len(S.FIELD_MAPS["wallet"])
+
+
+@pytest.mark.parametrize("dataset", list(S.FIELD_MAPS))
+def test_parse_is_made_of_methods_that_the_jvm_compiles(spark, tmp_path, dataset):
+    """HotSpot interprets methods of more than 8000 bytes for good."""
+    path = tmp_path / "export.csv"
+    path.write_text(",".join(S.headers_of(dataset)) + "\n" + "id" + "," * (len(S.headers_of(dataset)) - 1) + "\n")
+    read = I.ingest(spark, str(path), dataset)[dataset]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # whose plans show no code before they run
+    try:
+        for df in (read.parsed, read.rows, I.status_counts(read.rows, dataset)):
+            code = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+            assert sizes and max(sizes) < 8000, (dataset, sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
